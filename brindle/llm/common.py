@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +58,29 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session's executors, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        with tempfile.TemporaryDirectory() as held:
+            copy = os.path.join(held, "src", os.path.basename(root))
+            shutil.copytree(root, copy, ignore=shutil.ignore_patterns("__pycache__"))
+            spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="brindle-"), "brindle"), "zip", os.path.dirname(copy)))
+        _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query``, whose first argument is a session, with the package sent ahead."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        ship(spark)
+        return query(spark, *args, **kwargs)
+
+    return run

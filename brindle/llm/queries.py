@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, urlfilter, warc
-from .common import table
+import public_tokenizers
+
+from . import decontaminate, packing, sharding, token_codes, urlfilter, warc
+from .common import shared_dir, shipped, table
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -19,6 +21,7 @@ URL_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+TOKENIZER = "byte_bpe_50k.json"
 SHARDS = {f"shard-{i:03d}": 1.0 for i in range(64)}
 
 
@@ -35,11 +38,29 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "token-codes")
+    token_codes.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), end_id=0)
+    return token_codes.read_token_files(spark, folder).drop("file")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+_ALL = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_url_filter": op3_url_filter,
+    "op5_token_codes": op5_token_codes,
+    "op6_decontamination": op6_decontamination,
+    "op7_packing": op7_packing,
 }
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(query) for name, query in _ALL.items()}
 
 ORACLE: dict[str, str] = {
     "op1_warc": """
