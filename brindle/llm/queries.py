@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import decontaminate, packing, sharding, token_codes, urlfilter, warc
+from . import decontaminate, ngram_join, packing, quality, sharding, token_codes, urlfilter, warc
 from .common import shared_dir, shipped, table
 
 URL_RULES = [
@@ -38,6 +38,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-codes")
     token_codes.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), end_id=0)
@@ -52,13 +56,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 _ALL = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_url_filter": op3_url_filter,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_codes": op5_token_codes,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(query) for name, query in _ALL.items()}
 
