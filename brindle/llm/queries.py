@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import decontaminate, ngram_join, packing, quality, sharding, token_codes, urlfilter, warc
+from . import decontaminate, extraction, langid, ngram_join, packing, quality, sharding, token_codes, urlfilter, warc
 from .common import shared_dir, shipped, table
 
 URL_RULES = [
@@ -56,10 +56,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 _ALL = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
@@ -68,7 +76,9 @@ _ALL = {
     "op5_token_codes": op5_token_codes,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
+    "op10_extraction": op10_extraction,
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(query) for name, query in _ALL.items()}
 
