@@ -1,10 +1,70 @@
-"""Corpus pipeline: stages follow."""
+"""A training corpus from raw documents, in five stages.
+
+``STAGES`` lists (name, function); a function takes ``(spark, docs, sf_dir)``
+and returns a DataFrame that is written as Parquet and read again as the next
+one's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from brindle.llm import decontaminate, langid, ngram_join, packing, quality
+from brindle.llm.common import shared_dir, shipped, table
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@shipped
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the languages go."""
+    return langid.keep(docs)
+
+
+@shipped
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules or lie far from those of their language and source go."""
+    return quality.keep(docs)
+
+
+@shipped
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays."""
+    return ngram_join.keep_one(docs)
+
+
+@shipped
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.without(docs, table(spark, sf_dir, "benchmark"))
+
+
+@shipped
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: Trained models, robust estimates and alignments have no SQL form; tests check against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps lies in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = shared_dir(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
