@@ -93,8 +93,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node binary, shingles binary")
 
 
-def linked(sets: list[np.ndarray], keys: np.ndarray, tree: int, side: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether each pair is similar enough and not met in an earlier tree; with two sides, only pairs across."""
+def linked(sets: list[np.ndarray], keys: np.ndarray, tree: int, side: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Whether each pair is similar enough and not met in an earlier tree; with sides, only pairs across."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
@@ -116,7 +116,7 @@ def linked(sets: list[np.ndarray], keys: np.ndarray, tree: int, side: np.ndarray
     for t in range(tree):
         out &= keys[:, None, t] != keys[None, :, t]
     np.fill_diagonal(out, False)
-    if side.any():
+    if side is not None:
         out &= side[:, None] != side[None, :]
     return out
 
@@ -124,9 +124,9 @@ def linked(sets: list[np.ndarray], keys: np.ndarray, tree: int, side: np.ndarray
 def _compared(cells: DataFrame, threshold: float) -> DataFrame:
     """``(node, links, root)`` of each document with links in a cell; rows of a cell stand together."""
 
-    def verified(rows: list[tuple]) -> pa.RecordBatch | None:
+    def verified(cell: list, rows: list[tuple]) -> pa.RecordBatch | None:
         nodes, copies, keys, sets, sides, trees = zip(*rows)
-        link = linked([np.frombuffer(s, np.uint64) for s in sets], np.array(keys, np.int64), trees[0], np.array(sides), threshold)
+        link = linked([np.frombuffer(s, np.uint64) for s in sets], np.array(keys, np.int64), trees[0], np.array(sides) if cell[1] != cell[2] else None, threshold)
         if not link.any():
             return None
         order = sorted(range(len(nodes)), key=nodes.__getitem__)
@@ -147,11 +147,11 @@ def _compared(cells: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for *at, side, tree, node, copies, keys, held in zip(*[c.to_pylist() for c in batch.columns]):
                 if at != cell:
-                    if len(rows) > 1 and (out := verified(rows)) is not None:
+                    if len(rows) > 1 and (out := verified(cell, rows)) is not None:
                         yield out
                     cell, rows = at, []
                 rows.append((node, copies, keys, held, side, tree))
-        if len(rows) > 1 and (out := verified(rows)) is not None:
+        if len(rows) > 1 and (out := verified(cell, rows)) is not None:
             yield out
 
     return cells.mapInArrow(run, "node binary, links long, root binary")
