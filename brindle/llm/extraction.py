@@ -35,7 +35,7 @@ TAG_SCORES = {"nav": -7.0, "footer": -7.0, "aside": -6.0, "header": -4.0, "form"
 BAD_NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|promos?|sponsor(?:ed)?|banner|cookies?|consent|gdpr|notices?|alert|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widget|footer|masthead|topbar|toolbar|comments?|disqus|repl(?:y|ies)|share|sharing|social|related|recommended|subscribe|newsletter|signup|login|popup|modal|overlay|copyright|legal|pagination|pager|tags?|meta|byline|search|skip)(?:$|[^a-z])")
 GOOD_NAMES = re.compile(r"(?:^|[^a-z])(?:article|content|post|entry|story|main|body|text|paragraph)(?:$|[^a-z])")
 BAD_NAME, GOOD_NAME = -6.0, 2.0
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']+|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^<>]*)>""", re.DOTALL)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']+|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>""", re.DOTALL)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 
@@ -135,7 +135,9 @@ def blocks(page: str) -> list[Block]:
                 score = None if score is None else score - TAG_SCORES["header"]
             count += 1
             if tag not in ("html", "body") or attributes:
-                stack.append((tag, stack[-1][1] + (score or 0.0), count, stack[-1][3] and score is not None))
+                # What is boilerplate by name is so within an article too.
+                around = min(stack[-1][1], 0.0) if (score or 0.0) < 0 else stack[-1][1]
+                stack.append((tag, around + (score or 0.0), count, stack[-1][3] and score is not None))
     close()
     return out
 
