@@ -1,0 +1,337 @@
+"""N-gram join, decontamination, language ID, quality rules, extraction."""
+
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from brindle.llm import decontaminate, extraction, langid, ngram_join, quality
+from brindle.llm.common import ship
+from brindle.llm.components import components
+from brindle.llm.words import word_hashes
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def near_corpus(seed=1):
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(12):
+        base = rnd.choices(WORDS, k=rnd.randrange(5, 200))
+        for _ in range(rnd.randrange(1, 12)):
+            copy = list(base)
+            for _ in range(rnd.randrange(0, 6)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(WORDS)
+            rows.append(" ".join(copy))
+    rows += [None, "", " \n", "two words", "Two  WORDS", "two words", "x", rows[0], rows[0]]
+    ids = list(range(len(rows)))
+    rnd.shuffle(ids)
+    return list(zip(ids, rows))
+
+
+def brute_links(rows, threshold=0.8):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {("text", t or "")}
+    root, links = {i: i for i in sets}, Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (find(i), links[i]) for i in sets}
+
+
+@pytest.mark.parametrize("cell", [256, 3])
+def test_near_duplicates_against_brute_force(spark, cell):
+    ship(spark)
+    rows = near_corpus()
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, class_id string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs, cell=cell).collect()}
+    assert got == brute_links(rows)
+    kept = ngram_join.keep_one(docs, cell=cell)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in got.values()})
+
+
+def test_near_duplicates_null_ids_and_repeated_rows(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "g"), (None, "g"), (2, "h")], "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == {(None, 4, 2): 1, (4, 4, 2): 2, (None, None, 1): 2, (2, 2, 0): 1}
+    assert Counter(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == {4: 1, None: 1, 2: 1}
+    assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_prefix_depth():
+    assert ngram_join.prefix_depth(0.8, 20, 8, 0.999) == 5
+    with pytest.raises(ValueError):
+        ngram_join.prefix_depth(0.2, 2, 8, 0.999)
+
+
+def test_word_hashes_do_not_depend_on_place():
+    a, _ = word_hashes("eins zwei drei".encode())
+    b, begins = word_hashes("\n x\tdrei  zwei\x0beins".encode())
+    assert a.tolist() == b[1:][::-1].tolist() and begins.tolist() == [2, 4, 10, 15]
+    assert len(set(word_hashes(" ".join(map(str, range(20_000))).encode())[0].tolist())) == 20_000
+
+
+def test_components_against_union_find(spark):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    root = {}
+    for a, b in edges:
+        root.setdefault(a, a), root.setdefault(b, b)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def edit_distance(passage, text):
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(passage, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def changed(rnd, text, times):
+    out = list(text)
+    for _ in range(times):
+        p, kind = rnd.randrange(len(out)), rnd.randrange(3)
+        out[p : p + (kind < 2)] = [] if kind == 0 else [rnd.choice("abxyz")]
+    return "".join(out)
+
+
+def test_decontamination_against_edit_distance(spark):
+    ship(spark)
+    rnd = random.Random(9)
+    sentence = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 8))) for _ in range(n))
+    items = [(i, sentence(rnd.randrange(8, 40))) for i in range(12)] + [(50, None), (51, ""), (52, "short")]
+    docs = []
+    for i in range(60):
+        inner = changed(rnd, items[i % 12][1], rnd.randrange(0, 14))
+        docs.append((i, f"{sentence(rnd.randrange(6))}.  {inner.upper() if i % 2 else inner}; {sentence(rnd.randrange(6))}", "clash"))
+    docs += [(60, None, ""), (61, "", ""), (62, sentence(400), ""), (None, f"x {items[0][1]}", "")]
+    passages = decontaminate.Passages(items, decontaminate.Q, decontaminate.EDIT_RATE)
+    want = set()
+    for i, text, _ in docs:
+        codes = decontaminate.normalised(text or "")[0].tolist()
+        for k, name in enumerate(passages.names):
+            edits = edit_distance(passages.codes[k].tolist(), codes)
+            if edits <= passages.edits[k]:
+                want.add((i, name, edits))
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for block in (8 << 20, 300):
+        got = decontaminate.matches(d, b, block_chars=block).collect()
+        assert {(r["doc_id"], r["item_id"], r["edits"]) for r in got} == want and len(got) == len(want)
+    texts = {i: t for i, t, _ in docs}
+    exact = [r for r in got if r["edits"] == 0]
+    assert exact and all(re.sub(r"\W+", " ", texts[r["doc_id"]][r["start"] : r["end"]]).lower() == dict(items)[r["item_id"]] for r in exact)
+    bad = {i for i, _, _ in want}
+    kept = decontaminate.without(d, b)
+    assert kept.columns == d.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(repr(i) for i, _, _ in docs if i not in bad)
+    assert decontaminate.matches(d.limit(0), b).count() == 0
+    assert decontaminate.matches(d, b.limit(0)).count() == 0
+
+
+def test_long_documents_are_searched_in_windows(monkeypatch):
+    monkeypatch.setattr(decontaminate, "WINDOW_CHARS", 100)
+    text = "the quick brown fox jumps over the lazy dog and runs"
+    passages = decontaminate.Passages([(1, text)], 12, 0.05)
+    for lead in range(0, 400, 7):
+        ((_, edits, start, end),) = decontaminate.find("z" * lead + " " + text + " " + "y" * 300, passages)
+        assert (edits, start, end) == (0, lead + 1, lead + 1 + len(text))
+
+
+def brute_cross_entropy(texts, test, alphabet):
+    n = langid.ORDER
+
+    def codes(t):
+        return langid.characters([t])[0].tolist()
+
+    counts = {n: Counter()}
+    for t in texts:
+        s = codes(t)
+        counts[n].update(tuple(s[i - n + 1 : i + 1]) for i in range(len(s)) if s[i] != langid.START)
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[k] = one / (one + 2 * two) if one and two else 0.5
+
+    def p(k, gram):
+        if not k:
+            return 1 / alphabet
+        here = {g: v for g, v in counts[k].items() if g[:-1] == gram[:-1]}
+        low = p(k - 1, gram[1:])
+        if not here:
+            return low
+        total = sum(here.values())
+        return max(here.get(gram, 0) - discount[k], 0) / total * (gram in here) + discount[k] * len(here) / total * low
+
+    s = codes(test)
+    return float(np.mean([-math.log(p(n, tuple(s[i - n + 1 : i + 1]))) for i in range(len(s)) if s[i] != langid.START]))
+
+
+def test_kneser_ney_against_the_definition():
+    train = {"a": ["abab cab", "abc", "Bca cab"], "b": ["xyz abz", "zzy"]}
+    model = langid.Model.train(train)
+    alphabet = len({c for t in sum(train.values(), []) for c in langid.characters([t])[0].tolist()} - {langid.START}) + 1
+    for test in ("abab", "zab q", "XYZé cab!", "a"):
+        got = model.cross_entropy([test])[0][0]
+        assert got == pytest.approx([brute_cross_entropy(train[k], test, alphabet) for k in "ab"], abs=1e-4)
+    both = model.cross_entropy(["abab", "zab q"])[0]
+    assert both == pytest.approx(np.stack([model.cross_entropy([t])[0][0] for t in ("abab", "zab q")]))
+
+
+def test_language_id(spark):
+    ship(spark)
+    out = langid.predictions(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), max_rows=400).toPandas()
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas()
+    both = out.merge(truth, on="doc_id")
+    assert len(both) == 1000 and both.held_out.equals(both.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1))
+    held = both[both.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.97
+    assert out.score.between(0, 1).all()
+
+
+def test_language_id_edges(spark):
+    ship(spark)
+    rows = [(i, "der die das und nicht" if i % 2 else "the and of that with", "de" if i % 2 else "en", 0.5) for i in range(40)]
+    rows += [(100, None, "en", 0.0), (101, "123 !?", "de", 0.0), (102, "", None, 0.0), (None, "the and", None, 0.0), (103, "the and", None, 0.0), (103, "the and", None, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    out = [tuple(r) for r in langid.predictions(docs).collect()]
+    assert len(out) == len(rows)
+    by = defaultdict(set)
+    for i, held, lang, score in out:
+        by[i].add((lang, score > 0))
+        assert held == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1)
+    assert by[100] == by[101] == by[102] == {("und", False)}
+    assert by[103] == by[None] == {("en", True)}
+    kept = langid.keep(docs)
+    assert kept.columns == docs.columns and {100, 101, 102}.isdisjoint(r["doc_id"] for r in kept.collect())
+    assert langid.predictions(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        langid.predictions(docs.where("lang is null"))
+
+
+def brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    again = {k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(again)]
+
+
+def test_statistics_against_brute_force():
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(["a", "b ", "c", " ", "\n", "é|", "\t", "a b c ", "\x0b", "\x1c", " "]) for _ in range(rnd.randrange(80))) for _ in range(2000)] + [None, "", "a b c " * 5000]
+    got = quality.counts(texts)
+    assert [[int(got[c][i]) for c in quality.COUNTS] for i in range(len(texts))] == [brute_counts(t) for t in texts]
+
+
+def test_chi2_quantile():
+    assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3)
+
+
+def test_quality(spark):
+    ship(spark)
+    rnd = random.Random(5)
+    clean = lambda: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(rnd.randrange(60, 200)))
+    rows = [(i, clean(), "en", "s1", 0) for i in range(300)] + [(300 + i, clean(), None, None, 0) for i in range(130)] + [(500 + i, clean(), "fr", f"t{i}", 0) for i in range(10)]
+    junk = [(1000 + i, " | ".join(clean().split()), "en", "s1", 0) for i in range(10)]
+    short = [(2000, "few words", "en", "s1", 0), (2001, None, "en", "s1", 0), (2002, "", None, "s1", 0), (2003, "same words again " * 60, "en", "s1", 0), (None, clean(), "en", "s1", 0), (5, rows[5][1], "en", "s1", 0)]
+    docs = spark.createDataFrame(rows + junk + short, "doc_id long, text string, lang string, source string, kept int").repartition(3)
+    out = quality.verdicts(docs).toPandas()
+    assert len(out) == len(rows + junk + short)
+    verdict = {i: (b, k) for i, b, k in zip(out.doc_id.astype(object).where(out.doc_id.notna(), None), out.base_failed, out.kept)}
+    assert all(verdict[r[0]] == (False, True) for r in rows)
+    assert all(verdict[r[0]] == (False, False) for r in junk)
+    assert all(verdict[i] == (True, False) for i in (2000, 2001, 2002, 2003))
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) + 2
+    assert quality.verdicts(docs.limit(0)).count() == 0
+
+
+def test_estimate_resists_a_quarter_of_outliers(spark):
+    rng = np.random.default_rng(1)
+    good = rng.normal([1.6, 0.3, 0.2, 0.1], [0.05, 0.02, 0.02, 0.02], (800, 4))
+    bad = rng.normal([3.0, 1.5, 0.2, 0.1], 0.05, (200, 4))
+    df = spark.createDataFrame([("en", "s", *map(float, x)) for x in np.concatenate([good, bad])], "lang string, source string, " + ", ".join(f"{n} double" for n in quality.FLOORS))
+    groups, params = quality.fit(df)
+    (r,) = params.collect()
+    assert r["m"] == pytest.approx([1.6, 0.3, 0.2, 0.1], abs=0.01)
+    x = bad[0] - np.array(r["m"])
+    assert x @ np.array(r["p"]).reshape(4, 4) @ x > quality.chi2_quantile(1 - quality.REJECT, 4)
+    assert groups.count() == 1
+
+
+def test_minimum_cut_against_all_labellings():
+    rnd = random.Random(0)
+    for _ in range(300):
+        n = rnd.randrange(1, 8)
+        costs = [(rnd.random() * 3, rnd.random() * 3) for _ in range(n)]
+        edges = [(a, b, rnd.random() * 2) for a in range(n) for b in range(a + 1, n) if rnd.random() < 0.5]
+        cost = lambda s: sum(c if x else k for x, (k, c) in zip(s, costs)) + sum(w for a, b, w in edges if s[a] != s[b])
+        assert cost(extraction.source_side(costs, edges)) == pytest.approx(min(cost(s) for s in itertools.product([False, True], repeat=n)))
+
+
+ARTICLE = "<article><header><h1>A title</h1></header><p>First &amp; long\n\t paragraph&nbsp;with words, and more words.<p>Short.<div class='ad'>Buy this thing now, it is cheap today.</div><p>Second <b>bold<br>text</b> goes on for a while here.</article>"
+TEXT = "A title\n\nFirst & long paragraph with words, and more words.\n\nShort.\n\nSecond bold text goes on for a while here."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p><p>no';</script></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a>More</a></li></ul></nav><!-- <p>hidden</p> -->{ARTICLE}<footer>&copy; site, all rights reserved.</footer></body></html>",
+        f"<div class='cookie-notice'><p>We use cookies here, accept them all.</p></div><div class=sidebar><p>Popular things to read, ten of them.</p></div>{ARTICLE}<section id='comments'><p>I liked this text very much, thanks.</p></section><form><label>Mail</label><input></form>",
+        f"<header><a href=/>Logo</a></header>{ARTICLE}<aside>Related stories are listed here.</aside><noscript>Turn it on.</noscript>",
+    ],
+)
+def test_main_text(page):
+    assert extraction.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<a \"" * 3000, "<" * 20_000, "<!-- never closed <p>x</p>", "<script>never closed", "&#xFFFFFFF;&#55296;", "</p></div></html>", "<p" + "x" * 100_000])
+def test_broken_pages(page):
+    assert isinstance(extraction.main_text(page), str)
+
+
+def test_extracted_rows(spark):
+    ship(spark)
+    rows = [(1, "u", ARTICLE, "clash"), (1, "u", ARTICLE, "clash"), (None, None, None, None), (2, "v", "", None), (3, "w", "<p>" + "Many words. " * 50_000 + "</p>", None)]
+    out = extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    got = Counter((r["page_id"], r["url"], r["text"][:20], r["n_chars"]) for r in out.collect())
+    assert got == {(1, "u", TEXT[:20], len(TEXT)): 2, (None, None, "", 0): 1, (2, "v", "", 0): 1, (3, "w", ("Many words. " * 50_000)[:20], 12 * 50_000 - 1): 1}
+    assert extraction.extracted(out.withColumnRenamed("text", "html").limit(0)).count() == 0
