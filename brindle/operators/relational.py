@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import types
+from ..errors import ResourceLimitExceeded
+from ..governance import Limits
 from ..plans.lowering import Typed, lower, name, named_scope
 from ..sql import parse_expression
 
 
-def join(left: DataFrame, right: DataFrame, predicate: str, left_name: str = "left", right_name: str = "right") -> DataFrame:
+def join(left: DataFrame, right: DataFrame, predicate: str, left_name: str = "left", right_name: str = "right", limits: Limits | None = None) -> DataFrame:
     """Inner join on any predicate. Columns of ``right`` that ``left`` has too come out as ``<right_name>.<column>``.
 
     Names resolve plain where only one side has them (else to the left side),
     and qualified by either side's name. Equalities become hash or merge joins;
     a predicate without one is a nested loop, which Catalyst broadcasts only
-    below its size threshold.
+    below its size threshold. With a limit on join rows, neither side, nor the
+    product of their sizes, nor the result may have more.
     """
+    if limits and limits.join_rows is not None:
+        sides = [limits.checked("join rows", df).count() for df in (left, right)]
+        if (pairs := sides[0] * sides[1]) > limits.join_rows:
+            raise ResourceLimitExceeded("join rows", pairs, limits.join_rows)
     inner = {c: f"__right_{i}" for i, c in enumerate(right.columns)}
     renamed = right.select(*[F.col(name(c)).alias(inner[c]) for c in right.columns])
     kinds = {f.name: types.logical(f.dataType) or types.NULL for f in right.schema}

@@ -397,7 +397,7 @@ def _stored_as(x: Typed, column: TableColumn) -> Column:
                 fine = (c >= low) & (c <= high)
         wrong = F.raise_error(F.lit(f"type mismatch for column '{column.name}': expected {column.type}, found {x.type}"))
         c = F.when(c.isNull() | fine, c).otherwise(wrong.cast(_spark_type(x.type)))
-    c = c.cast(kind) if column.type != types.INTEGER or x.type == types.INTEGER else F.try_cast(c, "int") if hasattr(F, "try_cast") else c.try_cast("int")
+    c = c.cast(kind) if column.type != types.INTEGER or x.type == types.INTEGER else c.try_cast("int")
     if not column.nullable:
         c = F.coalesce(c, F.raise_error(F.lit(f"NULL is not allowed for column '{column.name}'")).cast(kind))
     return c

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.catalogue import CATALOGUE
-from brindle.errors import ExecutionError
+from brindle.errors import ExecutionError, ResourceLimitExceeded
+from brindle.governance import Limits
 from brindle.operators import compaction as C
 from brindle.operators import relational, versions
 
@@ -25,6 +26,10 @@ def test_join_names_and_nulls(spark):
     assert relational.join(users, profiles, "TRUE", "users", "profiles").count() == 9
     with pytest.raises(ExecutionError):
         relational.join(users, profiles, "nothing = 1")
+    for most in (2, 8):
+        with pytest.raises(ResourceLimitExceeded, match="join rows"):
+            relational.join(users, profiles, "id = profiles.id", "users", "profiles", Limits(join_rows=most))
+    assert relational.join(users, profiles, "id = profiles.id", "users", "profiles", Limits(join_rows=9)).count() == 1
 
 
 def test_overlapping_against_brute_force(spark):
