@@ -82,7 +82,8 @@ def governed(spark: SparkSession, work: Callable[[], Out], timeout_ms: int | Non
     sc, group, late = spark.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
-        sc.cancelJobGroup(group)
+        # Jobs that the statement is yet to start are stopped too; no other statement has this group.
+        sc._jsc.sc().cancelJobGroupAndFutureJobs(group)
 
     def expire() -> None:
         late.set()
