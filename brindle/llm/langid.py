@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .words import grouped, mixed
 
 ORDER = 5
-MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_ROWS = 2000
 MAX_LANGUAGES = 256
 FOLDS, HELD_OUT_FOLD = 3, 1
 HELD_BACK = 5
@@ -99,6 +99,37 @@ class Table:
         return np.where(self.keys[at] == h, at, -1)
 
 
+def _counted(texts: list[str]) -> list[dict[str, np.ndarray]]:
+    """By order, from 1: the n-grams of some texts (sorted hashes), how often they count, their suffixes and contexts.
+
+    Texts are gone through a part at a time, so the memory held is that of the distinct n-grams.
+    """
+    parts: list[list[tuple]] = [[] for _ in range(ORDER)]
+
+    def merge(n: int) -> None:
+        keys, times, suffix, context = (np.concatenate(x) for x in zip(*parts[n]))
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        parts[n] = [(keys, np.bincount(inverse, times).astype(np.int64), suffix[first], context[first])]
+
+    for part in grouped([len(t) for t in texts], 1 << 17):
+        codes, _, _ = characters(texts[part])
+        places = np.flatnonzero(codes != START)
+        h = [mixed(x) for x in hashes(codes)]
+        for n in range(ORDER):
+            keys, where, times = np.unique(h[n + 1][places], return_index=True, return_counts=True)
+            where = places[where]
+            parts[n].append((keys, times, h[n][where], h[n][where - 1]))
+            if len(parts[n]) > 4:
+                merge(n)
+    for n in range(ORDER):
+        merge(n)
+    out = [dict(zip(("keys", "times", "suffix", "context"), p[0])) for p in parts]
+    for n in range(ORDER - 1):
+        # Below the longest order an n-gram counts as often as it has different characters before it.
+        out[n]["times"] = np.unique(out[n + 1]["suffix"], return_counts=True)[1]
+    return out
+
+
 class Model:
     """Models of all languages together."""
 
@@ -109,24 +140,8 @@ class Model:
     @classmethod
     def train(cls, texts: dict[str, list[str]]) -> Model:
         languages = sorted(texts)
-        grams: list[list[np.ndarray]] = []
-        counted = []
-        for language in languages:
-            codes, _, _ = characters(texts[language])
-            places = np.flatnonzero(codes != START)
-            h = [mixed(x) for x in hashes(codes)]
-            found = []
-            below: np.ndarray | None = None
-            for n in range(ORDER, 0, -1):
-                keys, where, times = np.unique(h[n][places], return_index=True, return_counts=True)
-                where = places[where]
-                # Below the longest order an n-gram counts as often as it has different characters before it.
-                if below is not None:
-                    times = np.unique(h[n][below], return_counts=True)[1]
-                found.append({"keys": keys, "times": times, "suffix": h[n - 1][where], "context": h[n - 1][where - 1]})
-                below = where
-            counted.append(found[::-1])
-            grams.append([f["keys"] for f in found[::-1]])
+        counted = [_counted(texts[language]) for language in languages]
+        grams = [[f["keys"] for f in found] for found in counted]
         size = len(languages)
         alphabet = len(np.unique(np.concatenate([g[0] for g in grams]))) + 1
         tables, log_p, log_back = [], [], []
@@ -251,7 +266,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_co
         if k < each:
             taken[r["lang"]] = k + 1
             (held if k % HELD_BACK == HELD_BACK - 1 else train).setdefault(r["lang"], []).append(r["text"])
+    del rows
     model = Model.train(train)
+    del train
     model.calibrate(held)
     return model
 
