@@ -32,6 +32,7 @@ from .tokens import encoder
 
 SEGMENT_IDS = 2 << 20
 RANK_BITS = 512
+TABLE_IDS = 1 << 20
 MANIFEST = "file string, part long, ids long, documents long"
 HEAD = struct.Struct("<4sIQQI")
 
@@ -69,10 +70,15 @@ class Segment:
 
     @classmethod
     def of(cls, ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> Segment:
-        known, at, times = np.unique(ids, return_inverse=True, return_counts=True)
+        times = np.bincount(ids) if len(ids) and ids.max() < TABLE_IDS else None
+        if times is None:
+            known, at, times = np.unique(ids, return_inverse=True, return_counts=True)
+        else:
+            known, at = np.flatnonzero(times), ids
+            times = times[known]
         order = np.argsort(-times, kind="stable")
-        place = np.empty(len(known), np.uint32)
-        place[order] = np.arange(len(known), dtype=np.uint32)
+        place = np.zeros(len(known) if at is not ids else int(known[-1]) + 1, np.uint32)
+        place[order if at is not ids else known[order]] = np.arange(len(known), dtype=np.uint32)
         rest, levels = place[at], []
         while len(rest):
             more = rest > 255

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
@@ -33,6 +33,19 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def prefix_hashes(codes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from begins and ends within ``codes`` (bytes) to 64-bit hashes of what lies between, the same wherever it stands."""
+    up, down = _power(len(codes) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[codes] * up[:-1])])
+
+    def hashed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((total[end] - total[begin]) * down[begin])
+
+    return hashed
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each run of bytes other than ASCII white space, and where it begins. Equal words have equal hashes wherever they stand."""
     hashes, begins, a = [], [], 0
@@ -44,10 +57,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         space = _SPACE[codes]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
         first, last = edge[::2], edge[1::2]
-        up, down = _power(len(codes) + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[codes] * up[:-1])])
-            hashes.append(mixed((total[last] - total[first]) * down[first]))
+        hashes.append(prefix_hashes(codes)(first, last))
         begins.append(first + a)
         a = b
     if not hashes:
