@@ -70,9 +70,12 @@ class _Writer:
         block = {}
         for source, docs in self.held.items():
             lengths = np.array([len(ids) for _, ids in docs], "<i8")
-            parts = np.array([d or 0 for d, _ in docs], "<i8").tobytes(), np.array([d is None for d, _ in docs], "u1").tobytes(), lengths.tobytes(), np.concatenate([ids for _, ids in docs]).astype("<u4").tobytes()
+            ids = np.concatenate([ids for _, ids in docs])
+            # Ids below 65,536 take two bytes.
+            width = 2 if ids.max() < 1 << 16 else 4
+            parts = np.array([d or 0 for d, _ in docs], "<i8").tobytes(), np.array([d is None for d, _ in docs], "u1").tobytes(), lengths.tobytes(), ids.astype(f"<u{width}").tobytes()
             n = int(lengths.sum())
-            block[source] = self.at, len(docs), n
+            block[source] = self.at, len(docs), n, width
             self.tokens[source] = self.tokens.get(source, 0) + n
             for p in parts:
                 self.stream.write(p)
@@ -102,12 +105,13 @@ class _Reader:
         for block in self.blocks:
             if source not in block:
                 continue
-            at, docs, n = block[source]
+            at, docs, n, width = block[source]
             a, b = max(0, low), min(n, high)
             if a < b:
                 ids, nulls, lengths = (np.frombuffer(self.stream.read_at(w * docs, at + o * docs), k) for k, w, o in (("<i8", 8, 0), ("u1", 1, 8), ("<i8", 8, 9)))
                 end = np.cumsum(lengths)
-                data = memoryview(self.stream.read_at(4 * (b - a), at + 17 * docs + 4 * a))
+                held = np.frombuffer(self.stream.read_at(width * (b - a), at + 17 * docs + width * a), f"<u{width}")
+                data = memoryview(held.astype("<u4")).cast("B")
                 for i in range(int(np.searchsorted(end, a, "right")), int(np.searchsorted(end, b - 1, "right")) + 1):
                     first = int(end[i] - lengths[i])
                     x, y = max(first, a), min(int(end[i]), b)
