@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import parted
+
 Q = 12
 EDIT_RATE = 0.05
 BLOCK_CHARS = 8 << 20
-GROUP_CHARS = 1 << 20
 WINDOW_CHARS = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -214,10 +215,10 @@ def _matcher(block, q: int, edit_rate: float):
         passages = Passages(block.value, q, edit_rate)
         for batch in batches:
             rows: list[tuple] = []
-            texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for doc, text in zip(doc_ids, texts):
-                if text:
-                    rows += [(doc, passages.names[i], *m) for i, *m in find(text, passages)]
+            for part, texts in parted(batch, 1):
+                for doc, text in zip(part.column(0).to_pylist(), texts):
+                    if text:
+                        rows += [(doc, passages.names[i], *m) for i, *m in find(text, passages)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "item_id", "edits", "start", "end"])
 
@@ -240,6 +241,7 @@ def _keeper(block, q: int, edit_rate: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(block.value, q, edit_rate)
         for batch in batches:
-            yield batch.filter(pa.array([not (t and find(t, passages)) for t in batch.column(at).to_pylist()], pa.bool_()))
+            for rows, texts in parted(batch, at):
+                yield rows.filter(pa.array([not (t and find(t, passages)) for t in texts], pa.bool_()))
 
     return run

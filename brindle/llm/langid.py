@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import grouped, mixed
+from .words import grouped, mixed, parted
 
 ORDER = 5
 MAX_TRAIN_ROWS = 2000
@@ -281,8 +281,9 @@ def with_language(docs: DataFrame, model: Model, text_col: str, lang_out: str, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = shared.value.predict(batch.column(at).to_pylist()) if batch.num_rows else ([], np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.fieldNames())
+            for rows, texts in parted(batch, at):
+                lang, score = shared.value.predict(texts)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .words import grouped, mixed, shingles
+from .words import mixed, parted, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -66,13 +66,11 @@ def signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for part in grouped([len(t or "") for t in texts]):
-                values, counts = shingles(texts[part], size)
+            for rows, texts in parted(batch, 2):
+                values, counts = shingles(texts, size)
                 keys, has = tree_keys(values, counts, trees, depth), counts > 0
                 ends = np.cumsum(np.where(has, trees, 0))
                 held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys.ravel()), mask=pa.array(~has))
-                rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), held], names=["doc_id", "node", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, node binary, keys array<long>")
@@ -83,12 +81,11 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in grouped([len(t or "") for t in texts]):
-                values, counts = shingles(texts[part], size)
+            for rows, texts in parted(batch, 1):
+                values, counts = shingles(texts, size)
                 ends = np.cumsum(counts)
                 sets = [np.unique(values[e - n : e]).tobytes() for n, e in zip(counts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return docs.mapInArrow(run, "node binary, shingles binary")
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import open_fs, shared_dir
 from .tokens import encoder
+from .words import parted
 
 SIZE = 2048
 BLOCK_IDS = 2 << 20
@@ -127,12 +128,11 @@ def write_blocks(docs: DataFrame, folder: str, tokenizer: str, end_id: int, bloc
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (fs, base), out, name = encoder(tokenizer), open_fs(folder), None, f"{uuid.uuid4().hex}.ids"
         for batch in batches:
-            doc_ids, sources, texts = (c.to_pylist() for c in batch.columns)
-            if doc_ids and out is None:
-                fs.create_dir(base, recursive=True)
-                out = _Writer(fs.open_output_stream(f"{base}/{name}"), block_ids)
-            for a in range(0, len(texts), 256):
-                for doc, source, ids in zip(doc_ids[a : a + 256], sources[a : a + 256], encode.encode(texts[a : a + 256])):
+            for rows, texts in parted(batch, 2):
+                if out is None:
+                    fs.create_dir(base, recursive=True)
+                    out = _Writer(fs.open_output_stream(f"{base}/{name}"), block_ids)
+                for doc, source, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), encode.encode(texts)):
                     out.add(doc, _key(source), np.append(ids, np.uint32(end_id)))
         if out is not None:
             out.close()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .words import _PLACE, grouped, mixed, word_hashes
+from .words import _PLACE, mixed, parted, word_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -78,10 +78,8 @@ def with_counts(docs: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for part in grouped([len(t or "") for t in texts]):
-                found = counts(texts[part])
-                rows = batch.slice(part.start, part.stop - part.start)
+            for rows, texts in parted(batch, at):
+                found = counts(texts)
                 yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(found[c], pa.int64()) for c in COUNTS]], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)

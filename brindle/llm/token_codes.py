@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import open_fs
 from .tokens import encoder
+from .words import parted
 
 SEGMENT_IDS = 2 << 20
 RANK_BITS = 512
@@ -237,12 +238,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (fs, base), out, name = encoder(tokenizer), open_fs(folder), None, f"{uuid.uuid4().hex}.bdac"
         for batch in batches:
-            doc_ids, texts = (c.to_pylist() for c in batch.columns)
-            if doc_ids and out is None:
-                fs.create_dir(base, recursive=True)
-                out = FileWriter(fs.open_output_stream(f"{base}/{name}"), segment_ids)
-            for a in range(0, len(texts), 256):
-                for doc, ids in zip(doc_ids[a : a + 256], encode.encode(texts[a : a + 256])):
+            for rows, texts in parted(batch, 1):
+                if out is None:
+                    fs.create_dir(base, recursive=True)
+                    out = FileWriter(fs.open_output_stream(f"{base}/{name}"), segment_ids)
+                for doc, ids in zip(rows.column(0).to_pylist(), encode.encode(texts)):
                     out.add(doc, np.append(ids, np.uint32(end_id)))
         if out is not None:
             out.close()

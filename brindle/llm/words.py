@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -77,6 +79,15 @@ def grouped(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[slice]:
         yield slice(a, len(sizes))
 
 
+def parted(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """A batch in parts of about ``limit`` bytes of its column ``text``, with the texts of each; so few texts are Python objects at once."""
+    column = batch.column(text)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for part in grouped(sizes, limit):
+        rows = batch.slice(part.start, part.stop - part.start)
+        yield rows, rows.column(text).to_pylist()
+
+
 def shingles(texts: Sequence[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all texts, one text after the other, and how many each has.
 
