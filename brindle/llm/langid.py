@@ -7,7 +7,11 @@ worked in) and the weight by which every language backs off after it. A
 character costs one look at the longest order where that finds it. The language
 with the lowest cross-entropy per character is predicted. The score is its
 posterior against the others, times an acceptance that falls where the
-cross-entropy exceeds what documents held back from training showed.
+cross-entropy exceeds what documents held back from training showed: pieces of
+them of each length of ``LENGTHS`` give each language's median and spread, and
+the limit of deviations at that length: the quantile ``QUANTILE`` of all pieces,
+carried on to the share ``ACCEPT`` as for normal deviations, because junk and
+wrongly labelled texts among those held back own the quantiles beyond.
 
 Letters are lower-cased; every run of other characters is one space.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,11 @@ MAX_TRAIN_ROWS = 2000
 MAX_LANGUAGES = 256
 FOLDS, HELD_OUT_FOLD = 3, 1
 HELD_BACK = 5
-LIMIT_SIGMAS = 14.0
+#: Characters of the pieces; of each text and length so many; fewer than ``MIN_PIECES`` don't give a language's own spread.
+LENGTHS = (5, 10, 20, 40, 80, 160, 320, 640, 1280, 2560)
+PIECES, MIN_PIECES = 2, 5
+QUANTILE, ACCEPT = 0.95, 0.999
+LEAST_SPREAD = 0.02
 MIN_SCORE = 0.5
 START, SPACE = 1, 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -130,12 +139,25 @@ def _counted(texts: list[str]) -> list[dict[str, np.ndarray]]:
     return out
 
 
+def pieces(texts: Sequence[str], length: int) -> list[str]:
+    """``PIECES`` parts of ``length`` characters of each text that is as long, from the begin of a word if one is near."""
+    out = []
+    for t in texts:
+        room = len(t) - length
+        if room >= 0:
+            for at in sorted({room * (2 * k + 1) // (2 * PIECES) for k in range(PIECES)}):
+                word = t.rfind(" ", max(0, at - 20), at) + 1
+                out.append(t[word or at :][:length])
+    return out
+
+
 class Model:
     """Models of all languages together."""
 
-    def __init__(self, languages: list[str], tables: list[Table], log_p: list[np.ndarray], log_back: list[np.ndarray], unknown: np.ndarray):
+    def __init__(self, languages: list[str], tables: list[Table], log_p: list[np.ndarray], log_back: list[np.ndarray], unknown: np.ndarray, flat: float):
         self.languages, self.tables, self.log_p, self.log_back, self.unknown = languages, tables, log_p, log_back, unknown
-        self.expected = np.zeros((len(languages), 3))
+        # Without calibration a text must be coded better than by equal chances.
+        self.lengths, self.middle, self.spread, self.limit = np.ones(1), np.full((len(languages), 1), flat), np.ones((len(languages), 1)), np.zeros(1)
 
     @classmethod
     def train(cls, texts: dict[str, list[str]]) -> Model:
@@ -172,7 +194,7 @@ class Model:
             # The weights after a context lie with the context, an n-gram one shorter.
             log_back.append((Table(contexts), np.log(back).astype(np.float32)))
         unknown = log_back[0][1][0] + np.log(flat).astype(np.float32)
-        return cls(languages, tables, log_p, log_back, unknown)
+        return cls(languages, tables, log_p, log_back, unknown, math.log(alphabet))
 
     def cross_entropy(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats per character of each text in each language; characters; whether a letter is there."""
@@ -209,35 +231,62 @@ class Model:
         return rows
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
-        """Expected cross-entropy of each language and its spread, as a constant part and one that falls with length."""
-        for k, language in enumerate(self.languages):
-            held = texts.get(language) or []
-            ce, size, some = self.cross_entropy(held)
-            ce, size = ce[some, k], size[some]
-            if len(ce) < 5:
-                self.expected[k] = np.nan
+        """By length of text: each language's median cross-entropy and spread, and the limit of deviations.
+
+        A language with fewer than ``MIN_PIECES`` pieces of a length has the
+        spread of all pieces, and the larger of its own median and that of all.
+        """
+        found = []
+        for length in LENGTHS:
+            of, ces, sizes = [], [], []
+            for k, language in enumerate(self.languages):
+                cut = pieces(texts.get(language) or [], length)
+                if cut:
+                    ce, size, some = self.cross_entropy(cut)
+                    of.append(np.full(some.sum(), k))
+                    ces.append(ce[some, k])
+                    sizes.append(size[some])
+            if not sum(map(len, of)):
                 continue
-            middle = np.median(ce)
-            off = np.abs(ce - middle) * 1.4826
-            long_ = size >= np.median(size)
-            self.expected[k] = middle, max(0.05, np.median(off[long_])), max(1.0, np.median(off * np.sqrt(size)))
-        fine = ~np.isnan(self.expected[:, 0])
-        self.expected[~fine] = self.expected[fine].mean(axis=0) if fine.any() else (np.inf, 1.0, 1.0)
+            of, ces, sizes = np.concatenate(of), np.concatenate(ces), np.concatenate(sizes)
+            middle, spread = np.full(len(self.languages), np.median(ces)), np.full(len(self.languages), _spread(ces))
+            for k in np.unique(of):
+                own = ces[of == k]
+                if len(own) >= MIN_PIECES:
+                    middle[k], spread[k] = np.median(own), _spread(own)
+                else:
+                    middle[k] = max(middle[k], np.median(own))
+            # Few pieces show few large deviations: no less than if these were normal.
+            inner, outer = NormalDist().inv_cdf(QUANTILE), NormalDist().inv_cdf(ACCEPT)
+            limit = max(1.0, np.quantile((ces - middle[of]) / spread[of], QUANTILE, method="higher") / inner) * outer
+            found.append((np.median(sizes), middle, spread, limit))
+        if found:
+            lengths, middle, spread, limit = zip(*found)
+            self.lengths, self.middle, self.spread, self.limit = np.array(lengths), np.stack(middle, 1), np.stack(spread, 1), np.array(limit)
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score; ``und`` and 0 without a letter."""
         ce, size, some = self.cross_entropy(texts)
+        every = np.arange(len(texts))
         best = ce.argmin(axis=1)
-        lead = (ce - ce[np.arange(len(best)), best][:, None]) * size[:, None]
+        lead = (ce - ce[every, best][:, None]) * size[:, None]
         posterior = 1 / np.exp(-np.minimum(lead, 700)).sum(axis=1)
-        middle, constant, falling = self.expected[best].T
-        with np.errstate(invalid="ignore"):
-            sigmas = (ce[np.arange(len(best)), best] - middle) / np.sqrt(constant**2 + falling**2 / np.maximum(size, 1))
-        accepted = 1 / (1 + np.exp(np.clip(np.nan_to_num(sigmas, neginf=-50) - LIMIT_SIGMAS, -50, 50)))
+        # Between two lengths in proportion to the logarithm.
+        at = np.interp(np.log(np.maximum(size, 1)), np.log(self.lengths), np.arange(len(self.lengths)))
+        low = at.astype(np.int64)
+        high, part = np.minimum(low + 1, len(self.lengths) - 1), at - low
+        middle, spread = (x[best, low] * (1 - part) + x[best, high] * part for x in (self.middle, self.spread))
+        limit = self.limit[low] * (1 - part) + self.limit[high] * part
+        sigmas = (ce[every, best] - middle) / spread
+        accepted = 1 / (1 + np.exp(np.clip(sigmas - limit, -50, 50)))
         score = np.where(some, posterior * accepted, 0.0)
         return [self.languages[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())], score
 
 
+def _spread(x: np.ndarray) -> float:
+    return max(LEAST_SPREAD, float(np.median(np.abs(x - np.median(x)))) * 1.4826)
+
+
 def _fold_of(id_: Column) -> Column:
     return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(FOLDS))
 

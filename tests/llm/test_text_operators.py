@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from brindle.llm import decontaminate, extraction, langid, ngram_join, quality
@@ -242,6 +243,20 @@ def test_language_id_edges(spark):
         langid.predictions(docs.where("lang is null"))
 
 
+@pytest.mark.parametrize("unseen", ["en", "de", "es"])
+def test_a_language_that_was_left_out_is_rejected(unseen):
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["lang", "text"]).to_pylist()
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r["lang"]].append(r["text"])
+    known = {k: v for k, v in texts.items() if k != unseen}
+    model = langid.Model.train({k: v[:240] for k, v in known.items()})
+    model.calibrate({k: v[240:300] for k, v in known.items()})
+    for length in (80, 150, 300):
+        kept = [(model.predict([t[100 : 100 + length] for t in some if len(t) >= 100 + length])[1] >= langid.MIN_SCORE).mean() for some in (texts[unseen][:300], sum((v[300:400] for v in known.values()), []))]
+        assert kept[0] < 0.1 and kept[1] > 0.95, (length, kept)
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
