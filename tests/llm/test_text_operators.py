@@ -223,6 +223,16 @@ def test_language_id(spark):
     assert out.score.between(0, 1).all()
 
 
+def test_four_thousand_rows_teach(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.Model, "calibrate", lambda self, texts: seen.append(texts))
+    monkeypatch.setattr(langid.Model, "train", classmethod(lambda cls, texts: seen.append(texts) or object.__new__(cls)))
+    langid.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    train, held = ({k: len(v) for k, v in texts.items()} for texts in seen)
+    assert sum(train.values()) + sum(held.values()) > 3500
+    assert train["en"] + held["en"] == 1000
+
+
 def test_language_id_edges(spark):
     ship(spark)
     rows = [(i, "der die das und nicht" if i % 2 else "the and of that with", "de" if i % 2 else "en", 0.5) for i in range(40)]
