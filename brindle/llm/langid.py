@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of order ``ORDER`` for each language. The n-grams of all languages
-lie together in sorted arrays of 64-bit hashes, one array for each order, each
+One model of order ``ORDER`` for each language, however many there are. The
+n-grams of up to ``BLOCK_LANGUAGES`` languages lie together in sorted arrays of 64-bit hashes, one array for each order, each
 entry with the n-gram's log probability in every language (back-off already
 worked in) and the weight by which every language backs off after it. A
 character costs one look at the longest order where that finds it. The language
@@ -33,7 +33,9 @@ from .words import grouped, mixed, parted
 
 ORDER = 5
 MAX_TRAIN_ROWS = 4000
-MAX_LANGUAGES = 256
+#: With many languages the bound is so many rows for each of them; so many languages lie in one set of arrays.
+EACH_ROWS = 50
+BLOCK_LANGUAGES = 8
 FOLDS, HELD_OUT_FOLD = 3, 1
 HELD_BACK = 5
 #: Characters of the pieces; of each text and length so many; fewer than ``MIN_PIECES`` don't give a language's own spread.
@@ -151,21 +153,17 @@ def pieces(texts: Sequence[str], length: int) -> list[str]:
     return out
 
 
-class Model:
-    """Models of all languages together."""
+class Block:
+    """Models of some languages together."""
 
-    def __init__(self, languages: list[str], tables: list[Table], log_p: list[np.ndarray], log_back: list[np.ndarray], unknown: np.ndarray, flat: float):
-        self.languages, self.tables, self.log_p, self.log_back, self.unknown = languages, tables, log_p, log_back, unknown
-        # Without calibration a text must be coded better than by equal chances.
-        self.lengths, self.middle, self.spread, self.limit = np.ones(1), np.full((len(languages), 1), flat), np.ones((len(languages), 1)), np.zeros(1)
+    def __init__(self, size: int, tables: list[Table], log_p: list[np.ndarray], log_back: list[tuple[Table, np.ndarray]], unknown: np.ndarray):
+        self.size, self.tables, self.log_p, self.log_back, self.unknown = size, tables, log_p, log_back, unknown
 
     @classmethod
-    def train(cls, texts: dict[str, list[str]]) -> Model:
-        languages = sorted(texts)
-        counted = [_counted(texts[language]) for language in languages]
+    def train(cls, texts: Sequence[list[str]], alphabet: int) -> Block:
+        counted = [_counted(some) for some in texts]
         grams = [[f["keys"] for f in found] for found in counted]
-        size = len(languages)
-        alphabet = len(np.unique(np.concatenate([g[0] for g in grams]))) + 1
+        size = len(texts)
         tables, log_p, log_back = [], [], []
         flat = np.full(size, 1.0 / alphabet)
         for n in range(1, ORDER + 1):
@@ -194,26 +192,10 @@ class Model:
             # The weights after a context lie with the context, an n-gram one shorter.
             log_back.append((Table(contexts), np.log(back).astype(np.float32)))
         unknown = log_back[0][1][0] + np.log(flat).astype(np.float32)
-        return cls(languages, tables, log_p, log_back, unknown, math.log(alphabet))
-
-    def cross_entropy(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nats per character of each text in each language; characters; whether a letter is there."""
-        out, sizes, some = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        for part in grouped([len(t or "") for t in texts], 1 << 18):
-            codes, begin, letters = characters(texts[part])
-            scored = codes != START
-            h = [mixed(x[scored]) for x in hashes(codes)]
-            # The context of a character ends before it.
-            before = [mixed(np.concatenate([np.zeros(1, np.uint64), x[:-1]])[scored]) for x in hashes(codes)]
-            rows = self._log_p(h, before)
-            counts = np.add.reduceat(scored.astype(np.int64), begin)
-            first = np.cumsum(counts) - counts
-            out[part] = -np.add.reduceat(rows.astype(np.float64), first) / counts[:, None]
-            sizes[part], some[part] = counts, letters
-        return out, sizes, some
+        return cls(size, tables, log_p, log_back, unknown)
 
     def _log_p(self, h: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
-        rows = np.zeros((len(h[0]), len(self.languages)), np.float32)
+        rows = np.zeros((len(h[0]), self.size), np.float32)
         left = np.arange(len(h[0]))
         for n in range(ORDER, 0, -1):
             at = self.tables[n - 1].find(h[n][left])
@@ -230,6 +212,41 @@ class Model:
         rows[left] += self.unknown
         return rows
 
+
+class Model:
+    """Models of all languages, in blocks."""
+
+    def __init__(self, languages: list[str], blocks: list[Block], flat: float):
+        self.languages, self.blocks = languages, blocks
+        # Without calibration a text must be coded better than by equal chances.
+        self.lengths, self.middle, self.spread, self.limit = np.ones(1), np.full((len(languages), 1), flat), np.ones((len(languages), 1)), np.zeros(1)
+
+    @classmethod
+    def train(cls, texts: dict[str, list[str]]) -> Model:
+        languages = sorted(texts)
+        alphabet = len({c for k in languages for part in grouped([len(t) for t in texts[k]], 1 << 17) for c in np.unique(characters(texts[k][part])[0]).tolist()} - {START}) + 1
+        blocks = [Block.train([texts[k] for k in languages[a : a + BLOCK_LANGUAGES]], alphabet) for a in range(0, len(languages), BLOCK_LANGUAGES)]
+        return cls(languages, blocks, math.log(alphabet))
+
+    def cross_entropy(self, texts: Sequence[str | None], only: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nats per character of each text in each language (or those of block ``only``); characters; whether a letter is there."""
+        blocks = self.blocks if only is None else [self.blocks[only]]
+        out, sizes, some = np.zeros((len(texts), sum(b.size for b in blocks))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for part in grouped([len(t or "") for t in texts], 1 << 18):
+            codes, begin, letters = characters(texts[part])
+            scored = codes != START
+            h = [mixed(x[scored]) for x in hashes(codes)]
+            # The context of a character ends before it.
+            before = [mixed(np.concatenate([np.zeros(1, np.uint64), x[:-1]])[scored]) for x in hashes(codes)]
+            counts = np.add.reduceat(scored.astype(np.int64), begin)
+            first = np.cumsum(counts) - counts
+            at = 0
+            for b in blocks:
+                out[part, at : at + b.size] = -np.add.reduceat(b._log_p(h, before).astype(np.float64), first) / counts[:, None]
+                at += b.size
+            sizes[part], some[part] = counts, letters
+        return out, sizes, some
+
     def calibrate(self, texts: dict[str, list[str]]) -> None:
         """By length of text: each language's median cross-entropy and spread, and the limit of deviations.
 
@@ -242,9 +259,9 @@ class Model:
             for k, language in enumerate(self.languages):
                 cut = pieces(texts.get(language) or [], length)
                 if cut:
-                    ce, size, some = self.cross_entropy(cut)
+                    ce, size, some = self.cross_entropy(cut, k // BLOCK_LANGUAGES)
                     of.append(np.full(some.sum(), k))
-                    ces.append(ce[some, k])
+                    ces.append(ce[some, k % BLOCK_LANGUAGES])
                     sizes.append(size[some])
             if not sum(map(len, of)):
                 continue
@@ -292,21 +309,22 @@ def _fold_of(id_: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Train on at most ``max_rows`` labelled rows outside the held-out fold, as many for each of the (most frequent, at most ``MAX_LANGUAGES``) languages.
+    """Train on at most ``max_rows`` labelled rows outside the held-out fold, or ``EACH_ROWS`` for each language if that is more, as many for each.
 
     Rows are taken by a hash of the id, whole texts each; every fifth is kept
-    for calibration where a language has enough.
+    for calibration, from the second on.
     """
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # A null id has no fold and doesn't teach.
     d = d.where((_fold_of(F.col("id")) != HELD_OUT_FOLD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         raise ValueError("no labelled rows to learn from")
-    each = max(1, max_rows // len(sizes))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int((1 << 30) * min(1.0, 1.1 * each / r["n"]))))])
-    rows = d.withColumn("draw", draw).where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0))).select("lang", "draw", "id", "text").collect()
+    each = max(EACH_ROWS, max_rows // len(sizes))
+    # Some more than needed, for a hash doesn't deal out exact numbers.
+    some = 1.1 * each + 4 * math.sqrt(each)
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, some / r["n"]))) for r in sizes], "lang string, share long"))
+    rows = d.withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).join(share, "lang").where(F.col("draw") < F.col("share")).select("lang", "draw", "id", "text").collect()
     train: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     taken: dict[str, int] = {}
@@ -314,7 +332,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_co
         k = taken.get(r["lang"], 0)
         if k < each:
             taken[r["lang"]] = k + 1
-            (held if k % HELD_BACK == HELD_BACK - 1 else train).setdefault(r["lang"], []).append(r["text"])
+            (held if k % HELD_BACK == 1 else train).setdefault(r["lang"], []).append(r["text"])
     del rows
     model = Model.train(train)
     del train

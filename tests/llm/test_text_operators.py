@@ -233,6 +233,25 @@ def test_four_thousand_rows_teach(spark, monkeypatch):
     assert train["en"] + held["en"] == 1000
 
 
+def test_each_of_many_languages_is_learnt_and_unknown_ones_are_rejected(spark):
+    rnd = random.Random(11)
+    languages = 270
+
+    def prose(k, n):
+        words = random.Random(k)
+        words = ["".join(words.choices("abcdefghijklmnopqrstuvwxyz", k=words.randrange(3, 8))) for _ in range(12)]
+        return " ".join(rnd.choices(words, k=n))
+
+    few = {7: 2}
+    rows = [(1000 * k + i, f"l{k}", prose(k, 30)) for k in range(languages) for i in range(few.get(k, 40))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), max_rows=100)
+    assert len(model.languages) == languages
+    said, score = model.predict([prose(k, 30) for k in range(languages)])
+    assert np.mean([s == f"l{k}" for k, s in enumerate(said)]) > 0.99
+    assert np.mean(score >= langid.MIN_SCORE) > 0.95
+    assert (model.predict([prose(k, 30) for k in range(languages, languages + 100)])[1] < langid.MIN_SCORE).mean() > 0.95
+
+
 def test_language_id_edges(spark):
     ship(spark)
     rows = [(i, "der die das und nicht" if i % 2 else "the and of that with", "de" if i % 2 else "en", 0.5) for i in range(40)]
