@@ -9,7 +9,9 @@ third of all rows is no heavier for one task. Documents whose squared distance
 exceeds the chi-squared quantile are rejected.
 
 Groups of fewer than ``min_rows`` documents are pooled by language, these again
-over languages; where even that is too few there is no verdict but the rules'.
+over languages. Where even that is too few, an estimate over all documents of
+the language judges, or over all documents where the language has too few or is
+null; a table that has fewer than ``min_rows`` altogether is judged by all it has.
 """
 
 from __future__ import annotations
@@ -150,12 +152,21 @@ def fit(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_ro
     x = {n: F.col(n) for n in names}
     vectors = vectors.withColumn("own", _group(F.col("lang"), F.col("source"))).withColumn("language", _group(F.col("lang"), F.lit(None).cast("string")))
     sizes = written(vectors.groupBy("own", "language").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
-    pooled = sizes.where(F.col("n") < min_rows).groupBy("language").agg(F.sum("n").alias("pool"))
-    groups = sizes.join(pooled, "language", "left")
-    groups = groups.select("own", F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("pool") >= min_rows, F.concat(F.lit("pool "), F.col("language"))).otherwise(F.lit("pool")).alias("g"), "n")
-    enough = groups.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows).select("g")
-    groups = written(groups.join(enough, "g").select("own", "g"), "groups")
-    v = vectors.join(groups, "own").select("g", *names)
+    small = F.col("n") < min_rows
+    totals = sizes.groupBy("language").agg(F.sum("n").alias("of_language"), F.sum(F.when(small, F.col("n"))).alias("pool"))
+    rest = F.sum(F.when(F.col("pool") < min_rows, F.col("pool")))
+    groups = sizes.join(totals, "language").crossJoin(totals.agg(rest.alias("rest")))
+    g = F.when(~small, F.col("own")).when(F.col("pool") >= min_rows, F.concat(F.lit("pool "), F.col("language"))).when(F.col("rest") >= min_rows, F.lit("pool"))
+    # What is still too few learns from all documents of its language, or from all.
+    g = g.when((F.col("of_language") >= min_rows) & (F.col("language").startswith("+")), F.concat(F.lit("all "), F.col("language"))).otherwise(F.lit("all"))
+    groups = written(groups.select("own", "language", g.alias("g")), "groups")
+    # The groups whose documents teach each estimate: its own, all of a language, or all.
+    wide = groups.where(F.col("g").startswith("all")).select(F.col("g").alias("wide")).distinct()
+    teach = groups.where(~F.col("g").startswith("all")).select("own", "g")
+    for whole in (F.lit("all"), F.concat(F.lit("all "), F.col("language"))):
+        teach = teach.unionByName(groups.withColumn("wide", whole).join(F.broadcast(wide), "wide").select("own", F.col("wide").alias("g")))
+    teach, groups = written(teach, "teaching"), groups.select("own", "g")
+    v = vectors.join(teach, "own").select("g", *names)
 
     middle = written(v.groupBy("g").agg(*[F.percentile_approx(n, 0.5, 10_000).alias(f"mid_{n}") for n in names]), "middles")
     spread = v.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(x[n] - F.col(f"mid_{n}")), 0.5, 10_000).alias(f"dev_{n}") for n in names])
@@ -217,7 +228,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", so
     Null and empty texts have no words and fail the rules. Null languages and
     sources are values of their own. Null and repeated ids are kept as they
     come, an empty table gives no rows, other columns are not read.
-    ``distance`` (squared) is null where the rules fail or no group is large enough.
+    ``distance`` (squared) is null where the rules fail.
     """
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return judged(narrow, **options)[0].select("doc_id", *COUNTS, "base_failed", "distance", "kept")

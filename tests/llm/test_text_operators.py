@@ -328,6 +328,22 @@ def test_quality(spark):
     assert quality.verdicts(docs.limit(0)).count() == 0
 
 
+def test_quality_of_groups_that_are_too_small(spark):
+    ship(spark)
+    rnd = random.Random(6)
+    clean = lambda: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(100))
+    junk = lambda: " ".join(w + "%%%" for w in clean().split())
+    rare = [("en", "rare"), ("fr", "rare"), (None, None), (None, "s1"), ("en", None)]
+    rows = [(i, clean(), "en", f"s{i % 2}") for i in range(300)]
+    rows += [(1000 + 10 * k + i, clean() if i else junk(), *group) for k, group in enumerate(rare) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = quality.verdicts(docs).toPandas()
+    assert len(out) == len(rows) and out.distance.notna().all()
+    assert set(out.doc_id[~out.kept]) == {1000 + 10 * k for k in range(len(rare))}
+    few = quality.verdicts(docs.where("lang is null or lang = 'fr' or source = 'rare'")).toPandas()
+    assert few.distance.notna().all()
+
+
 def test_estimate_resists_a_quarter_of_outliers(spark):
     rng = np.random.default_rng(1)
     good = rng.normal([1.6, 0.3, 0.2, 0.1], [0.05, 0.02, 0.02, 0.02], (800, 4))
