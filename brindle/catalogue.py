@@ -92,9 +92,9 @@ def _space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.live_bytes(_log(spark, sf_dir, "props"), ["user_id"], "event_id", "props").select("space_amplification")
 
 
-def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranges(spark: SparkSession, sf_dir: str, left: str = "p_partkey <= 200") -> DataFrame:
     part = table(spark, sf_dir, "part")
-    a = part.where("p_partkey <= 200").select(F.col("p_partkey").alias("l"), (F.col("p_partkey") + F.col("p_size")).alias("l_end"))
+    a = part.where(left).select(F.col("p_partkey").alias("l"), (F.col("p_partkey") + F.col("p_size")).alias("l_end"))
     b = part.select(F.col("p_partkey").alias("r"), F.col("p_partkey").alias("r_end"))
     return relational.overlapping(a, b, ("l", "l_end"), ("r", "r_end"), 64).where("l < r").select("l", "r")
 
@@ -162,6 +162,7 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
     "compaction_tombstones": (lambda s, d: versions.compacted(_log(s, d, "event_type"), ["user_id"], ["event_id"]).where("event_type = 'error'").select("user_id", "event_id"), "SELECT user_id, event_id FROM (SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS t FROM events GROUP BY user_id) WHERE t = 'error'"),
     "tier_buckets": (lambda s, d: table(s, d, "documents").groupBy(F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int").alias("tier")).agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(floor(log2(greatest(n_chars, 1))) AS INTEGER) AS tier, count(*) AS n FROM documents GROUP BY 1"),
     "range_overlap": (_ranges, "SELECT a.p_partkey AS l, b.p_partkey AS r FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_partkey + a.p_size >= b.p_partkey WHERE a.p_partkey <= 200"),
+    "range_overlap_whole": (lambda s, d: _ranges(s, d, "TRUE"), "SELECT a.p_partkey AS l, b.p_partkey AS r FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_partkey + a.p_size >= b.p_partkey"),
     "space_amplification": (_space, "SELECT (SELECT sum(strlen(props)) FROM (SELECT max_by(props, event_id) AS props FROM events GROUP BY user_id)) / (SELECT sum(strlen(props)) FROM events) AS space_amplification"),
 }
 QUERIES: dict[str, Query] = {name: query for name, (query, _) in CATALOGUE.items()}

@@ -91,3 +91,12 @@ def test_catalogue(spark, query):
     assert columns == sorted(want.columns)
     mine = sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())
     assert mine == sorted(repr(r) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
+def test_range_overlap_over_the_whole_table(spark):
+    from brindle import catalogue
+
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_size").collect()
+    want = sorted((a["p_partkey"], b["p_partkey"]) for a in part for b in part if a["p_partkey"] < b["p_partkey"] <= a["p_partkey"] + a["p_size"])
+    got = sorted(tuple(r) for r in catalogue.QUERIES["range_overlap_whole"](spark, "/root/testdata/sf0.01").collect())
+    assert got == want and max(got)[0] > 200
