@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -22,9 +23,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
         base = spark.sparkContext.getCheckpointDir()
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    # A path without a scheme lies on the cluster's default file system.
+    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def open_fs(uri: str):
@@ -44,7 +46,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``written`` returned and that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT_KEYS, HOT_ROWS = 10_000, 64
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int, times: str = "n") -> DataFrame:
+    """Inner join of ``left``, which has ``rows`` rows, with ``right``, which has one row a key and says in ``times`` how many rows of ``left`` have it.
+
+    Keys of more than ``rows / HOT_KEYS`` rows, of which there are at most
+    ``HOT_KEYS``, are broadcast: their rows of ``left`` stay in the tasks that
+    read them. Only rows of the other keys are dealt out by key.
+    """
+    many = max(HOT_ROWS, rows // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(times) > many))
+    cold = left.join(F.broadcast(right.where(F.col(times) > many).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(cold.join(right.where(F.col(times) <= many), key))
 
 
 def fresh(df: DataFrame, name: str) -> str:

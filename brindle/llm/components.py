@@ -3,6 +3,7 @@
 Each step joins every node's neighbours to the least of them; the edges become
 stars whose centre is the least node of its component. Nothing is collected;
 each round is written to the shared folder, so lost executors cost one round.
+A centre with many neighbours is broadcast, so its edges stay where they lie.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, removed, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,18 +27,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e, "edges")
     state = _state(e)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = written(small.distinct(), "edges")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.sum(F.when(F.col("v") > F.col("u"), 1).otherwise(0)).alias("n")), "least")
+        large = hot_join(both.where("v > u"), least.select("u", F.least("u", "m").alias("m"), "n"), "u", state[0])
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        next_least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = hot_join(large, next_least, "u", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, e = e, written(small.unionByName(next_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        removed(last, least, large, next_least)
         now = _state(e)
         if now == state:
             break
         state = now
     else:
-        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+        if state[0]:
+            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

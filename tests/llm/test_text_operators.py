@@ -77,6 +77,59 @@ def test_near_duplicates_null_ids_and_repeated_rows(spark):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_recall_of_pairs_from_the_threshold_up(spark):
+    """Three hundred pairs of known similarity, most of them just above the threshold, and as many just below."""
+    ship(spark)
+    rnd = random.Random(12)
+    rows, above, below = [], 0, 0
+    for i in range(600):
+        n = rnd.randrange(20, 240)
+        base = [f"p{i}x{k}" for k in range(n)]
+        most = int((n - 4) / 0.8) - (n - 4)
+        more = rnd.randrange(max(1, most - 8), most + 1) if i < 300 else most + 1 + rnd.randrange(4)
+        above, below = above + (i < 300), below + (i >= 300)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [f"p{i}y{k}" for k in range(more)]))]
+    want = brute_links_of_pairs(rows)
+    assert sum(want) == above == 300 and below == 300
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    found = [got[2 * i + 1] == 2 * i for i in range(600)]
+    assert not any(f and not w for f, w in zip(found, want))
+    assert sum(f for f, w in zip(found, want) if w) >= 298
+
+
+def brute_links_of_pairs(rows):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    return [len(a & b) >= 0.8 * len(a | b) - 1e-9 for a, b in zip(sets[::2], sets[1::2])]
+
+
+def test_each_document_shortens_its_prefixes_by_itself():
+    for n in range(1, 40):
+        brute = min(i / (n + m - i) for m in range(1, 80) for i in range(1, min(n, m) + 1) if i / (n + m - i) >= 0.8 - 1e-9)
+        assert ngram_join.least_similarity(n) == pytest.approx(brute)
+    depths = ngram_join.own_depths()
+    assert depths[1] == depths[3] == 8 and depths[4] == depths[-1] == 5 and depths[7] == 7
+
+
+def test_columns_that_clash_and_a_hot_text(spark):
+    ship(spark)
+    rows = [(i, "the same five words again", f"k{i}", i) for i in range(300)] + [(300 + i, f"other text number {i} it is", f"k{i}", i) for i in range(40)] + [(400, None, "z", 1), (400, None, "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __kept string, __own int").repartition(3)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["__kept"], r["__own"]) for r in kept.collect()) == sorted([(0, "k0", 0)] + [(300 + i, f"k{i}", i) for i in range(40)] + [(400, "z", 1)])
+    got = Counter((r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect())
+    assert got[(0, 299)] == 300
+    assert ngram_join.keep_one(docs.limit(0)).collect() == []
+
+
+def test_long_sets_are_dealt_out_by_bytes(spark):
+    ship(spark)
+    rows = near_corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs, cell_bytes=3000).collect()}
+    assert got == brute_links(rows)
+
+
 def test_prefix_depth():
     assert ngram_join.prefix_depth(0.8, 20, 8, 0.999) == 5
     with pytest.raises(ValueError):
@@ -108,6 +161,8 @@ def test_components_against_union_find(spark):
         root[y] = x
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    star = spark.createDataFrame([(1000, i) for i in range(1001, 1400)] + [(7, 1000)], "u long, v long")
+    assert {r["root"] for r in components(star).collect()} == {7}
 
 
 def edit_distance(passage, text):
