@@ -84,6 +84,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+def with_string(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """``df`` and the name of a string column with the values of ``column``: itself, or a new last one where it is of another type."""
+    if df.schema[column].dataType.simpleString() == "string":
+        return df, column
+    name = fresh(df, "string")
+    return df.withColumn(name, F.col(f"`{column}`").cast("string")), name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -79,12 +79,16 @@ def grouped(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[slice]:
         yield slice(a, len(sizes))
 
 
-def parted(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """A batch in parts of about ``limit`` bytes of its column ``text``, with the texts of each; so few texts are Python objects at once."""
-    column = batch.column(text)
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+def parts(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``limit`` bytes of its column ``text``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     for part in grouped(sizes, limit):
-        rows = batch.slice(part.start, part.stop - part.start)
+        yield batch.slice(part.start, part.stop - part.start)
+
+
+def parted(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The ``parts`` of a batch, with the texts of each; so few texts are Python objects at once."""
+    for rows in parts(batch, text, limit):
         yield rows, rows.column(text).to_pylist()
 
 

@@ -187,7 +187,7 @@ def test_decontamination_against_edit_distance(spark):
     ship(spark)
     rnd = random.Random(9)
     sentence = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 8))) for _ in range(n))
-    items = [(i, sentence(rnd.randrange(8, 40))) for i in range(12)] + [(50, None), (51, ""), (52, "short")]
+    items = [(i, sentence(rnd.randrange(8, 40))) for i in range(12)] + [(50, None), (51, ""), (52, "short"), (53, "!")]
     docs = []
     for i in range(60):
         inner = changed(rnd, items[i % 12][1], rnd.randrange(0, 14))
@@ -223,6 +223,41 @@ def test_long_documents_are_searched_in_windows(monkeypatch):
     for lead in range(0, 400, 7):
         ((_, edits, start, end),) = decontaminate.find("z" * lead + " " + text + " " + "y" * 300, passages)
         assert (edits, start, end) == (0, lead + 1, lead + 1 + len(text))
+        wide = text.replace(" ", " ." * 30)
+        ((_, edits, start, end),) = decontaminate.find("z" * lead + " " + wide + " " + "y" * 300, passages)
+        assert (edits, start, end) == (0, lead + 1, lead + 1 + len(wide))
+
+
+@pytest.mark.parametrize("window", [64, 1 << 20])
+def test_windows_against_edit_distance(monkeypatch, window):
+    monkeypatch.setattr(decontaminate, "WINDOW_CHARS", window)
+    monkeypatch.setattr(decontaminate, "POSTINGS", 50)
+    rnd = random.Random(window)
+    words = lambda n: "".join("".join(rnd.choices("abcdef", k=rnd.randrange(1, 7))) + rnd.choice([" ", "  ", ", \n", " - "]) for _ in range(n))
+    items = [(i, words(rnd.randrange(1, 30))) for i in range(25)] + [(100, "yes no"), (101, "a"), (102, "..."), (103, "twelve chars")]
+    passages = decontaminate.Passages(items, decontaminate.Q, decontaminate.EDIT_RATE)
+    assert 102 not in passages.names and {100, 101, 103} <= set(passages.names)
+    for i in range(60):
+        inner = items[i % len(items)][1]
+        text = words(rnd.randrange(40)) + changed(rnd, inner, rnd.randrange(0, 4) if len(inner) > 8 else 0) + " " + words(rnd.randrange(40))
+        codes = decontaminate.normalised(text)[0].tolist()
+        want = {k: d for k in range(len(passages.names)) if (d := edit_distance(passages.codes[k].tolist(), codes)) <= passages.edits[k]}
+        assert {k: e for k, e, *_ in decontaminate.find(text, passages)} == want
+
+
+def test_a_benchmark_of_many_blocks_takes_one_scan(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(i, f"some lead in and passage number {i % 30} as it stands, then more", 7, "x") for i in range(90)] + [(500, None, 1, None), (501, "", 1, "")], "doc_id long, text string, files int, names string").repartition(2)
+    bench = spark.createDataFrame([(i, f"passage number {i} as it stands") for i in range(20)], "item_id long, text string")
+    found = decontaminate.matches(docs, bench, block_chars=60, edit_rate=0.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == sorted((i, i % 30) for i in range(90) if i % 30 < 20)
+    kept = decontaminate.without(docs, bench, block_chars=60, edit_rate=0.0)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(90) if i % 30 >= 20] + [500, 501]
+    assert decontaminate.without(docs, bench.limit(0)).count() == 92 and decontaminate.without(docs.limit(0), bench).count() == 0
+    numbers = spark.createDataFrame([(1, 123456789), (2, None)], "doc_id long, text long")
+    assert [r["doc_id"] for r in decontaminate.without(numbers, spark.createDataFrame([(1, "123456789")], "item_id long, text string")).collect()] == [2]
 
 
 def brute_cross_entropy(texts, test, alphabet):
