@@ -1,11 +1,16 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text. A linear classifier over a block's tags,
-class names, links and wording gives the cost of calling it boilerplate and the
-cost of calling it content: the capacities of its edges from the source and to
-the sink. Edges of smoothness join blocks that follow one another and blocks of
-one parent, the stronger the nearer they are in the document tree. The minimum
-cut is the labelling of least cost; the source's side is content.
+A page is cut into blocks of text. A linear classifier with fixed weights, over
+a block's tags, class names, links and wording, gives the cost of calling it
+boilerplate and the cost of calling it content: the capacities of its edges from
+the source and to the sink. Edges of smoothness join blocks that follow one
+another and blocks of one parent, the stronger the nearer they are in the
+document tree. The minimum cut is the labelling of least cost; the source's side
+is content.
+
+A name says what an element is, not what the page around it has: names of html
+and body don't count, nor do words of layout ("has-sidebar"), and a form or a
+name of boilerplate doesn't count on an element that holds the page's main part.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import parted
+
 SMOOTHNESS = 1.5
 MAX_COST = 12.0
 # Element names of HTML.
@@ -32,9 +39,15 @@ RAW = frozenset(["script", "style", "textarea", "title", "iframe", "noscript"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 # Weights of the classifier.
 TAG_SCORES = {"nav": -7.0, "footer": -7.0, "aside": -6.0, "header": -4.0, "form": -6.0, "fieldset": -4.0, "menu": -6.0, "dialog": -6.0, "article": 5.0, "main": 3.0, "figcaption": -0.5}
-BAD_NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|promos?|sponsor(?:ed)?|banner|cookies?|consent|gdpr|notices?|alert|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widget|footer|masthead|topbar|toolbar|comments?|disqus|repl(?:y|ies)|share|sharing|social|related|recommended|subscribe|newsletter|signup|login|popup|modal|overlay|copyright|legal|pagination|pager|tags?|meta|byline|search|skip)(?:$|[^a-z])")
-GOOD_NAMES = re.compile(r"(?:^|[^a-z])(?:article|content|post|entry|story|main|body|text|paragraph)(?:$|[^a-z])")
+BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising promo promos sponsor sponsored banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead topbar toolbar comment comments commentlist disqus reply replies share sharing social related recommended subscribe newsletter signup login popup modal overlay copyright legal pagination pager tag tags meta byline search skip contentinfo complementary".split())
+GOOD_NAMES = frozenset("article content post entry story main body text paragraph".split())
+#: A class with such a word describes the page or a container of both kinds.
+LAYOUT_NAMES = frozenset("no not has have with without is enabled disabled layout page template theme skin".split())
+CONTAINERS = frozenset("wrap wrapper container inner outer holder col cols column columns grid row".split())
 BAD_NAME, GOOD_NAME = -6.0, 2.0
+#: An element that holds the page's first-level heading and more than this share of its plain words holds the main part.
+MAIN_SHARE = 0.5
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']+|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>""", re.DOTALL)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
@@ -45,24 +58,50 @@ class Block:
 
     __slots__ = ("context", "leaf", "linked", "parent", "path", "text")
 
-    def __init__(self, text: str, linked: int, leaf: str, context: float, path: tuple[int, ...]):
-        self.text, self.linked, self.leaf, self.context, self.path = text, linked, leaf, context, path
+    def __init__(self, text: str, linked: int, leaf: str, path: tuple[int, ...]):
+        self.text, self.linked, self.leaf, self.context, self.path = text, linked, leaf, 0.0, path
         self.parent = path[-1] if path else 0
 
 
+class Element:
+    """What a shown element adds to the score of its blocks."""
+
+    __slots__ = ("around", "doubtful", "main", "score", "words")
+
+    def __init__(self, around: int, score: float, doubtful: float):
+        self.around, self.score, self.doubtful, self.main, self.words = around, score, doubtful, False, 0
+
+
 @lru_cache(maxsize=4096)
-def _tag_score(tag: str, attributes: str) -> float | None:
-    """What an element adds to its blocks' score; None if it is not shown."""
-    score = TAG_SCORES.get(tag, 0.0)
-    if attributes:
+def _names_score(names: str) -> float:
+    """Of class, id and role together."""
+    good = bad = False
+    for name in names.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        some_bad, some_good = not words.isdisjoint(BAD_NAMES), not words.isdisjoint(GOOD_NAMES)
+        if words.isdisjoint(LAYOUT_NAMES) and not (some_bad and some_good and not words.isdisjoint(CONTAINERS)):
+            bad, good = bad or some_bad, good or (some_good and not some_bad)
+    return 0.0 if good and bad else BAD_NAME if bad else GOOD_NAME if good else 0.0
+
+
+@lru_cache(maxsize=4096)
+def _scores(tag: str, attributes: str) -> tuple[float, float, bool] | None:
+    """What an element adds to its blocks' score for good, and unless it holds the main part; whether it says that it is the main part. None if it is not shown."""
+    score, doubtful = TAG_SCORES.get(tag, 0.0), 0.0
+    if tag in ("form", "fieldset"):
+        score, doubtful = 0.0, score
+    main = tag == "main"
+    if attributes and tag not in ("html", "body"):
         if _HIDDEN.search(attributes):
             return None
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-        if BAD_NAMES.search(names):
-            score += BAD_NAME
-        elif GOOD_NAMES.search(names):
-            score += GOOD_NAME
-    return score
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
+        named = _names_score(names)
+        main = main or "main" in names.lower().split() and named > 0
+        if named < 0:
+            doubtful += named
+        else:
+            score += named
+    return score, doubtful, main
 
 
 def blocks(page: str) -> list[Block]:
@@ -71,18 +110,24 @@ def blocks(page: str) -> list[Block]:
     words: list[str] = []
     linked = 0
     in_link = False
-    count = 0
-    # Open elements: name, score with all around it, number, whether shown.
-    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, True)]
+    elements = [Element(0, 0.0, 0.0)]
+    # Open elements: name, number, whether shown, whether its name or tag is that of content.
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, True, False)]
+    headed: list[int] = []
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, headed
         if words:
             text = " ".join("".join(words).split())
             if text:
                 leaf = stack[-1][0]
                 inner = leaf == "p" or leaf in HEADINGS or leaf in ("li", "td", "th", "dd", "dt")
-                out.append(Block(text, linked, leaf, stack[-1][1], tuple(x[2] for x in (stack[:-1] if inner else stack))))
+                out.append(Block(text, linked, leaf, tuple(x[1] for x in (stack[:-1] if inner else stack))))
+                plain = max(0, text.count(" ") + 1 - linked)
+                for x in stack:
+                    elements[x[1]].words += plain
+                if leaf == "h1" and not headed:
+                    headed = [x[1] for x in stack]
             words.clear()
         linked = 0
 
@@ -90,7 +135,7 @@ def blocks(page: str) -> list[Block]:
     while at < size:
         found = _TOKEN.search(page, at)
         begin = found.start() if found else size
-        if begin > at and stack[-1][3]:
+        if begin > at and stack[-1][2]:
             text = page[at:begin]
             if "&" in text:
                 text = html.unescape(text)
@@ -109,11 +154,11 @@ def blocks(page: str) -> list[Block]:
         elif tag in SKIPPED:
             if not ending:
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+                    end = _end_of(tag).search(page, at)
                     at = end.end() if end else size
                 elif not attributes.endswith("/"):
-                    count += 1
-                    stack.append((tag, stack[-1][1], count, False))
+                    elements.append(Element(stack[-1][1], 0.0, 0.0))
+                    stack.append((tag, len(elements) - 1, False, False))
             else:
                 _pop(stack, tag)
         elif tag in SPACES:
@@ -126,23 +171,40 @@ def blocks(page: str) -> list[Block]:
             if ending:
                 _pop(stack, tag)
                 continue
-            if not stack[-1][3] and tag == "body":
+            if not stack[-1][2] and tag == "body":
                 _pop(stack, "head")
             if stack[-1][0] == "p" or (tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th")):
                 stack.pop()
-            score = _tag_score(tag, attributes)
-            if tag == "header" and any(x[0] in ("article", "main") for x in stack):
-                score = None if score is None else score - TAG_SCORES["header"]
-            count += 1
-            if tag not in ("html", "body") or attributes:
-                # What is boilerplate by name is so within an article too.
-                around = min(stack[-1][1], 0.0) if (score or 0.0) < 0 else stack[-1][1]
-                stack.append((tag, around + (score or 0.0), count, stack[-1][3] and score is not None))
+            found_scores = _scores(tag, attributes)
+            score, doubtful, main = found_scores or (0.0, 0.0, False)
+            if tag == "header" and any(x[3] for x in stack):
+                score -= TAG_SCORES["header"]
+            if tag not in ("html", "body"):
+                elements.append(Element(stack[-1][1], score, doubtful))
+                stack.append((tag, len(elements) - 1, stack[-1][2] and found_scores is not None, score > 0 and not doubtful))
+                if main and stack[-1][2]:
+                    for x in stack:
+                        elements[x[1]].main = True
     close()
+    for i in headed:
+        elements[i].main = elements[i].main or elements[i].words > MAIN_SHARE * elements[0].words
+    contexts: list[float] = []
+    for e in elements:
+        score = e.score + (0.0 if e.main else e.doubtful)
+        around = contexts[e.around] if contexts else 0.0
+        # What is boilerplate by name is so within an article too.
+        contexts.append((min(around, 0.0) if score < 0 else around) + score)
+    for b in out:
+        b.context = contexts[b.path[-1]]
     return out
 
 
-def _pop(stack: list[tuple[str, float, int, bool]], tag: str) -> None:
+@lru_cache(maxsize=16)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE)
+
+
+def _pop(stack: list[tuple[str, int, bool, bool]], tag: str) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i][0] == tag:
             del stack[i:]
@@ -249,7 +311,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(x).encode("utf-8", "replace").decode() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+            for rows, found in parted(batch, 2):
+                text = [main_text(x).encode("utf-8", "replace").decode() for x in found]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     return p.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))

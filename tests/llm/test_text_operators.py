@@ -473,6 +473,57 @@ def test_main_text(page):
     assert extraction.main_text(page) == TEXT
 
 
+PROSE = [f"{n} paragraph of a story, which has words enough to be read as prose, and it ends here." for n in ("The first", "A second", "The third", "Another")]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar">{}',
+        '<body class="single no-sidebar"><div>{}</div>',
+        '<body class="page search-enabled"><div>{}</div>',
+        '<body class="has-sidebar"><div class="entry-content">{}</div>',
+        "<div class='post meta-wrap'>{}</div>",
+        '<div id="content-sidebar-wrap"><main class="content">{}</main><div class="sidebar"><p>Popular things to read are listed here.</p></div></div>',
+        '<div class="withSidebar"><div>{}</div></div>',
+    ],
+)
+def test_names_of_layout_do_not_lose_the_text(page):
+    assert extraction.main_text(page.format("".join(f"<p>{x}</p>" for x in PROSE))) == "\n\n".join(PROSE)
+
+
+@pytest.mark.parametrize("page", ['<form id="aspnetForm" class="login-page">{}</form>', '<div class="sidebar-left">{}</div>'])
+def test_what_holds_the_main_part_is_not_boilerplate(page):
+    inner = "<h1>A title of it</h1>" + "".join(f"<p>{x}</p>" for x in PROSE)
+    assert extraction.main_text(page.format(inner)) == "\n\n".join(["A title of it", *PROSE])
+
+
+def test_generated_pages():
+    """Random pages whose main text is known by construction."""
+    rnd = random.Random(21)
+    say = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(n)).capitalize() + "."
+    links = lambda: "<ul>" + "".join(f"<li><a href='/{i}'>{say(2)}</a></li>" for i in range(rnd.randrange(3, 9))) + "</ul>"
+    around = [
+        lambda: f"<nav>{links()}</nav>",
+        lambda: f"<div class='main-menu'>{links()}</div>",
+        lambda: f"<aside><p>{say(12)}</p></aside>",
+        lambda: f"<div class='sidebar widget-area'><p>{say(15)}</p>{links()}</div>",
+        lambda: f"<div id=cookie-notice><p>{say(14)}</p></div>",
+        lambda: f"<div class='ad'>{say(10)}</div>",
+        lambda: f"<footer><p>&copy; {say(8)}</p></footer>",
+        lambda: f"<section class='comments-area'><h3>{say(2)}</h3><article class='comment'><p>{say(25)}</p></article></section>",
+        lambda: f"<form action='/s'><label>{say(3)}</label><input></form>",
+        lambda: f"<script>var x = '<p>{say(9)}</p>'</script><style>p {{}}</style>",
+    ]
+    inner = ["<article>{}</article>", "<main>{}</main>", "<div class='post-content'>{}</div>", "<div id=content><article class='post has-thumbnail'>{}</article></div>", "<div class='story col'><div>{}</div></div>"]
+    for _ in range(150):
+        title, prose = say(5), [say(rnd.randrange(12, 80)) for _ in range(rnd.randrange(2, 9))]
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in prose)
+        head, tail = ("".join(make() for make in rnd.sample(around, rnd.randrange(0, 6))) for _ in range(2))
+        page = f"<html><body class='{rnd.choice(['', 'has-sidebar', 'single search-enabled'])}'>{head}{rnd.choice(inner).format(body)}{tail}</body></html>"
+        assert extraction.main_text(page) == "\n\n".join([title, *prose]), page
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<a \"" * 3000, "<" * 20_000, "<!-- never closed <p>x</p>", "<script>never closed", "&#xFFFFFFF;&#55296;", "</p></div></html>", "<p" + "x" * 100_000])
 def test_broken_pages(page):
     assert isinstance(extraction.main_text(page), str)
