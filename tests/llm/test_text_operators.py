@@ -434,19 +434,53 @@ def test_quality_of_groups_that_are_too_small(spark):
     assert few.distance.notna().all()
 
 
+VECTORS = "lang string, source string, pick long, " + ", ".join(f"{n} double" for n in quality.FLOORS)
+
+
 def test_estimate_resists_a_quarter_of_outliers(spark):
+    ship(spark)
     rng = np.random.default_rng(1)
     good = rng.normal([1.6, 0.3, 0.2, 0.1], [0.05, 0.02, 0.02, 0.02], (800, 4))
     bad = rng.normal([3.0, 1.5, 0.2, 0.1], 0.05, (200, 4))
-    df = spark.createDataFrame([("en", "s", *map(float, x)) for x in np.concatenate([good, bad])], "lang string, source string, " + ", ".join(f"{n} double" for n in quality.FLOORS))
+    df = spark.createDataFrame([("en", "s", i, *map(float, x)) for i, x in enumerate(np.concatenate([good, bad]))], VECTORS)
     groups, params = quality.fit(df)
     (r,) = params.collect()
     assert r["m"] == pytest.approx([1.6, 0.3, 0.2, 0.1], abs=0.01)
-    x = bad[0] - np.array(r["m"])
-    assert x @ np.array(r["p"]).reshape(4, 4) @ x > quality.chi2_quantile(1 - quality.REJECT, 4)
+    distance = lambda x: (x - np.array(r["m"])) @ np.array(r["p"]).reshape(4, 4) @ (x - np.array(r["m"]))
+    limit = quality.chi2_quantile(1 - quality.REJECT, 4)
+    assert all(distance(x) > limit for x in bad) and all(distance(x) <= limit for x in good)
     assert groups.count() == 1
 
 
+def test_least_determinant_against_all_subsets(spark):
+    """Small groups: the estimate is that of the subset with the least determinant of all."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    floors, n, h = np.array(list(quality.FLOORS.values())) ** 2, 13, 10
+    factor = quality._inner_factor(quality.SUPPORT, 4)
+    rows, want = [], {}
+    for k in range(12):
+        # Two clusters and stray vectors: the medians alone start badly.
+        x = np.concatenate([rng.normal(0, 1, (9, 4)) * rng.uniform(0.1, 1.5, 4), rng.normal(rng.uniform(-4, 4, 4), 0.3, (4, 4))])
+        rows += [("en", f"s{k}", 100 * k + i, *map(float, v)) for i, v in enumerate(x)]
+        fits = [quality._fitted(x[list(s)], factor, floors) for s in itertools.combinations(range(n), h)]
+        want[f"+en / +s{k}"] = min(fits, key=lambda f: f[2])
+    _, params = quality.fit(spark.createDataFrame(rows, VECTORS).repartition(3), min_rows=10)
+    got = {r["g"]: r for r in params.collect()}
+    assert got.keys() == want.keys()
+    for g, (mean, inverse, log_det) in want.items():
+        assert got[g]["log_det"] == pytest.approx(log_det, abs=1e-6)
+        assert got[g]["m"] == pytest.approx(mean.tolist(), abs=1e-6) and got[g]["p"] == pytest.approx(inverse.ravel().tolist(), rel=1e-4, abs=1e-4)
+
+
+def test_clean_documents_are_kept(spark):
+    """The share of documents labelled good that pass the rules and are rejected all the same."""
+    ship(spark)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.verdicts(docs).join(labels, "doc_id").where("not base_failed and quality = 1").toPandas()
+    assert len(found) > 200 and found.kept.mean() > 0.99
+
+
 def test_minimum_cut_against_all_labellings():
     rnd = random.Random(0)
     for _ in range(300):
