@@ -214,15 +214,22 @@ def _refitted(moments: DataFrame, n: int, factor: float) -> DataFrame:
     return moments.mapInArrow(run, "g string, k int, m array<double>, p array<double>, log_det double")
 
 
-def _step(v: DataFrame, sizes: DataFrame, starts: DataFrame, rows: int, support: float) -> DataFrame:
+def _with_group(v: DataFrame, per_group: DataFrame, sizes: DataFrame, rows: int, groups: int) -> DataFrame:
+    """``v`` and what one row a group says; the rows of a large group stay where they are."""
+    if groups <= BROADCAST_GROUPS:
+        return v.join(F.broadcast(per_group), "g")
+    return hot_join(v, per_group.join(sizes, "g"), "g", rows).drop("n")
+
+
+def _step(v: DataFrame, sizes: DataFrame, starts: DataFrame, rows: int, groups: int, support: float) -> DataFrame:
     """One concentration step over all vectors: ``(g, k, m, p, log_det)`` from ``(g, starts)``."""
     names = list(FLOORS)
-    near = hot_join(v, starts.join(sizes, "g"), "g", rows).select("g", *names, F.explode("starts").alias("at"))
+    near = _with_group(v, starts, sizes, rows, groups).select("g", *names, F.explode("starts").alias("at"))
     near = near.select("g", "at.k", *names, _distance({n: F.col(n) for n in names}, "at.m", "at.p").alias("d"))
     cuts = near.groupBy("g", "k").agg(F.percentile_approx("d", support, 10_000).alias("cut"))
     cuts = written(cuts.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", "cut"))).alias("cuts")), "cuts")
     # The cuts travel with the starts, so vectors meet them in the same join.
-    near = hot_join(v, starts.join(cuts, "g").join(sizes, "g"), "g", rows).select("g", *names, "cuts", F.explode("starts").alias("at"))
+    near = _with_group(v, starts.join(cuts, "g"), sizes, rows, groups).select("g", *names, "cuts", F.explode("starts").alias("at"))
     near = near.select("g", "at.k", *names, F.col("cuts")[F.col("at.k")].alias("cut"), _distance({n: F.col(n) for n in names}, "at.m", "at.p").alias("d"))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     moments = near.where("d <= cut").groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(f"s{i}") for i, n in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"ss{i}_{j}") for i, j in pairs])
@@ -235,16 +242,16 @@ def estimates(v: DataFrame, support: float = SUPPORT, starts: int = STARTS) -> D
     names = list(FLOORS)
     x = {n: F.col(n) for n in names}
     sizes = written(v.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows, groups = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     v = v.select("g", "pick", *names)
     # About SAMPLE vectors of each group, all of a smaller one; only starts come from them.
-    drawn = hot_join(v, sizes, "g", rows).where(F.pmod(F.xxhash64("pick", "g"), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(SAMPLE) / F.col("n")) * (1 << 30))
+    drawn = _with_group(v, sizes.withColumnRenamed("n", "of"), sizes, rows, groups).where(F.pmod(F.xxhash64("pick", "g"), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(SAMPLE) / F.col("of")) * (1 << 30))
     drawn = drawn.groupBy("g").agg(F.collect_list(F.array(*names)).alias("x"))
     drawn = _starts(drawn.where(F.size("x") > len(names)), support, starts)
 
     middle = v.groupBy("g").agg(*[F.percentile_approx(n, 0.5, 10_000).alias(f"mid_{n}") for n in names])
     middle = written(middle, "middles")
-    off = hot_join(v, middle.join(sizes, "g"), "g", rows)
+    off = _with_group(v, middle, sizes, rows, groups)
     spread = off.groupBy("g").agg(*[F.percentile_approx(F.abs(x[n] - F.col(f"mid_{n}")), 0.5, 10_000).alias(f"dev_{n}") for n in names])
     scale = [F.pow(F.col(f"dev_{n}") * 1.4826, F.lit(2)) + FLOORS[n] ** 2 for n in names]
     plain = middle.join(spread, "g").select("g", F.array(*[F.col(f"mid_{n}") for n in names]).alias("m"), F.array(*[1 / scale[i] if i == j else F.lit(0.0) for i in range(len(names)) for j in range(len(names))]).alias("p"))
@@ -253,12 +260,12 @@ def estimates(v: DataFrame, support: float = SUPPORT, starts: int = STARTS) -> D
     started = written(started, "starts")
 
     for _ in range(FIRST_STEPS):
-        found = _step(v, sizes, started, rows, support)
+        found = _step(v, sizes, started, rows, groups, support)
         started = found.groupBy("g").agg(F.collect_list(F.struct("k", "m", "p")).alias("starts"))
     best = found.groupBy("g").agg(F.min_by(F.struct("k", "m", "p"), F.struct("log_det", "k")).alias("at"), F.min("log_det").alias("log_det"))
     best = written(best.select("g", "at.*", "log_det"), "estimate")
     for _ in range(MAX_STEPS):
-        new = _step(v, sizes, best.select("g", F.array(F.struct("k", "m", "p")).alias("starts")), rows, support)
+        new = _step(v, sizes, best.select("g", F.array(F.struct("k", "m", "p")).alias("starts")), rows, groups, support)
         both = best.select("g", F.struct("log_det", "k", "m", "p").alias("old")).join(new.select("g", F.struct("log_det", "k", "m", "p").alias("new")), "g")
         fall = both.agg(F.max(F.col("old.log_det") - F.col("new.log_det"))).first()[0]
         best = written(both.select("g", F.when(F.col("new.log_det") < F.col("old.log_det"), F.col("new")).otherwise(F.col("old")).alias("at")).select("g", "at.*"), "estimate")
