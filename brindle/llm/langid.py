@@ -5,9 +5,11 @@ n-grams of up to ``BLOCK_LANGUAGES`` languages lie together in sorted arrays of
 entry with the n-gram's log probability in every language (back-off already
 worked in) and the weight by which every language backs off after it. A
 character costs one look at the longest order where that finds it. The language
-with the lowest cross-entropy per character is predicted. The score is its
-posterior against the others, times an acceptance that falls where the
-cross-entropy exceeds what documents held back from training showed: pieces of
+with the lowest cross-entropy per character is predicted, of equal ones the first
+by name. The score is its posterior against the others, at the temperature that
+makes the labels of held-back pieces of that length most likely, times an
+acceptance that falls where the cross-entropy exceeds what documents held back
+from training showed: pieces of
 them of each length of ``LENGTHS`` give each language's median and spread, and
 the limit of deviations at that length: the quantile ``QUANTILE`` of all pieces,
 carried on to the share ``ACCEPT`` as for normal deviations, because junk and
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, with_string
 from .words import grouped, mixed, parted
 
 ORDER = 5
@@ -43,6 +46,8 @@ LENGTHS = (5, 10, 20, 40, 80, 160, 320, 640, 1280, 2560)
 PIECES, MIN_PIECES = 2, 5
 QUANTILE, ACCEPT = 0.95, 0.999
 LEAST_SPREAD = 0.02
+#: Temperatures tried.
+TEMPERATURES = np.geomspace(1.0, 256.0, 49)
 MIN_SCORE = 0.5
 START, SPACE = 1, 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -219,7 +224,7 @@ class Model:
     def __init__(self, languages: list[str], blocks: list[Block], flat: float):
         self.languages, self.blocks = languages, blocks
         # Without calibration a text must be coded better than by equal chances.
-        self.lengths, self.middle, self.spread, self.limit = np.ones(1), np.full((len(languages), 1), flat), np.ones((len(languages), 1)), np.zeros(1)
+        self.lengths, self.middle, self.spread, self.limit, self.log_heat = np.ones(1), np.full((len(languages), 1), flat), np.ones((len(languages), 1)), np.zeros(1), np.zeros(1)
 
     @classmethod
     def train(cls, texts: dict[str, list[str]]) -> Model:
@@ -248,20 +253,23 @@ class Model:
         return out, sizes, some
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
-        """By length of text: each language's median cross-entropy and spread, and the limit of deviations.
+        """By length of text: each language's median cross-entropy and spread, the limit of deviations, and the posterior's temperature.
 
         A language with fewer than ``MIN_PIECES`` pieces of a length has the
         spread of all pieces, and the larger of its own median and that of all.
         """
         found = []
         for length in LENGTHS:
-            of, ces, sizes = [], [], []
+            of, ces, sizes, leads = [], [], [], []
             for k, language in enumerate(self.languages):
                 cut = pieces(texts.get(language) or [], length)
                 if cut:
                     ce, size, some = self.cross_entropy(cut, k // BLOCK_LANGUAGES)
                     of.append(np.full(some.sum(), k))
                     ces.append(ce[some, k % BLOCK_LANGUAGES])
+                    # Against the other languages of the block.
+                    lead = (np.delete(ce[some], k % BLOCK_LANGUAGES, axis=1) - ces[-1][:, None]) * size[some, None]
+                    leads.append(np.concatenate([lead, np.full((len(lead), BLOCK_LANGUAGES - 1 - lead.shape[1]), np.inf)], axis=1))
                     sizes.append(size[some])
             if not sum(map(len, of)):
                 continue
@@ -276,10 +284,10 @@ class Model:
             # Few pieces show few large deviations: no less than if these were normal.
             inner, outer = NormalDist().inv_cdf(QUANTILE), NormalDist().inv_cdf(ACCEPT)
             limit = max(1.0, np.quantile((ces - middle[of]) / spread[of], QUANTILE, method="higher") / inner) * outer
-            found.append((np.median(sizes), middle, spread, limit))
+            found.append((np.median(sizes), middle, spread, limit, math.log(_temperature(np.concatenate(leads)))))
         if found:
-            lengths, middle, spread, limit = zip(*found)
-            self.lengths, self.middle, self.spread, self.limit = np.array(lengths), np.stack(middle, 1), np.stack(spread, 1), np.array(limit)
+            lengths, middle, spread, limit, log_heat = zip(*found)
+            self.lengths, self.middle, self.spread, self.limit, self.log_heat = np.array(lengths), np.stack(middle, 1), np.stack(spread, 1), np.array(limit), np.array(log_heat)
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score; ``und`` and 0 without a letter."""
@@ -287,13 +295,13 @@ class Model:
         every = np.arange(len(texts))
         best = ce.argmin(axis=1)
         lead = (ce - ce[every, best][:, None]) * size[:, None]
-        posterior = 1 / np.exp(-np.minimum(lead, 700)).sum(axis=1)
         # Between two lengths in proportion to the logarithm.
         at = np.interp(np.log(np.maximum(size, 1)), np.log(self.lengths), np.arange(len(self.lengths)))
         low = at.astype(np.int64)
         high, part = np.minimum(low + 1, len(self.lengths) - 1), at - low
         middle, spread = (x[best, low] * (1 - part) + x[best, high] * part for x in (self.middle, self.spread))
-        limit = self.limit[low] * (1 - part) + self.limit[high] * part
+        limit, log_heat = (x[low] * (1 - part) + x[high] * part for x in (self.limit, self.log_heat))
+        posterior = 1 / np.exp(-np.minimum(lead / np.exp(log_heat)[:, None], 700)).sum(axis=1)
         sigmas = (ce[every, best] - middle) / spread
         accepted = 1 / (1 + np.exp(np.clip(sigmas - limit, -50, 50)))
         score = np.where(some, posterior * accepted, 0.0)
@@ -304,22 +312,29 @@ def _spread(x: np.ndarray) -> float:
     return max(LEAST_SPREAD, float(np.median(np.abs(x - np.median(x)))) * 1.4826)
 
 
+def _temperature(lead: np.ndarray) -> float:
+    """The one at which pieces are most likely in their own language; ``lead`` is by how many nats they are coded better in it than in each other one."""
+    with np.errstate(over="ignore"):
+        costs = [np.log1p(np.exp(np.clip(-lead / t, -700, 700)).sum(axis=1)).sum() for t in TEMPERATURES]
+    return float(TEMPERATURES[int(np.argmin(costs))])
+
+
 def _fold_of(id_: Column) -> Column:
     return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
     """Train on at most ``max_rows`` labelled rows outside the held-out fold, or ``EACH_ROWS`` for each language if that is more, as many for each.
 
     Rows are taken by a hash of the id, whole texts each; every fifth is kept
-    for calibration, from the second on.
+    for calibration, from the second on. None where no row can teach.
     """
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # A null id has no fold and doesn't teach.
     d = d.where((_fold_of(F.col("id")) != HELD_OUT_FOLD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
-        raise ValueError("no labelled rows to learn from")
+        return None
     each = max(EACH_ROWS, max_rows // len(sizes))
     # Some more than needed, for a hash doesn't deal out exact numbers.
     some = 1.1 * each + 4 * math.sqrt(each)
@@ -334,12 +349,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_co
             taken[r["lang"]] = k + 1
             (held if k % HELD_BACK == 1 else train).setdefault(r["lang"], []).append(r["text"])
     del rows
+    if not any(_has_letter(t) for texts in train.values() for t in texts):
+        return None
     model = Model.train(train)
     del train
     model.calibrate(held)
     return model
 
 
+def _has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in text)
+
+
 def with_language(docs: DataFrame, model: Model, text_col: str, lang_out: str, score_out: str) -> DataFrame:
     """``docs`` with two more columns: language and score of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -358,25 +379,33 @@ def with_language(docs: DataFrame, model: Model, text_col: str, lang_out: str, s
 def predictions(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``, one row for each row of ``docs``.
 
-    Null texts and texts without a letter are ``und`` with score 0. Rows with a
-    null id aren't held out. Repeated rows stay repeated; other columns are not
-    read. Without any labelled row (an empty table) ``ValueError``, unless the
-    table has no rows: then none come.
+    Null texts and texts without a letter are ``und`` with score 0; so is all
+    where no labelled row with a letter is outside the held-out fold. Rows with
+    a null id aren't held out. Repeated rows stay repeated; an empty table gives
+    no rows; other columns are not read.
     """
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    if docs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, lang_pred string, score double")
-    out = with_language(d, fit(docs, id_col, lang_col, text_col, max_rows), "text", "lang_pred", "score")
+    model = fit(docs, id_col, lang_col, text_col, max_rows)
+    if model is None:
+        out = d.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    else:
+        out = with_language(d, model, "text", "lang_pred", "score")
     return out.select("doc_id", F.coalesce(_fold_of(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", min_score: float = MIN_SCORE, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose text is in a known language (score at least ``min_score``), with all columns."""
-    if docs.isEmpty():
+    """The rows of ``docs`` whose text is in a known language (score at least ``min_score``), with all columns.
+
+    Null texts and texts without a letter go. Where no row teaches a language
+    nothing can be judged, and all rows stay. Null labels don't teach, nor do
+    null ids; repeated rows share their fate. An empty table stays empty;
+    columns may have any names.
+    """
+    model = fit(docs, id_col, lang_col, text_col, max_rows)
+    if model is None:
         return docs
-    names = {c.lower() for c in docs.columns}
-    lang, score = "__lang", "__score"
-    while lang in names or score in names:
-        lang, score = "_" + lang, "_" + score
-    out = with_language(docs, fit(docs, id_col, lang_col, text_col, max_rows), text_col, lang, score)
+    d, name = with_string(docs, text_col)
+    lang = fresh(d, "lang")
+    score = fresh(d.withColumn(lang, F.lit("")), "score")
+    out = with_language(d, model, name, lang, score)
     return out.where((F.col(lang) != "und") & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])

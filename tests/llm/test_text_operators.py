@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate, extraction, langid, ngram_join, quality
 from brindle.llm.common import ship
@@ -358,8 +359,35 @@ def test_language_id_edges(spark):
     kept = langid.keep(docs)
     assert kept.columns == docs.columns and {100, 101, 102}.isdisjoint(r["doc_id"] for r in kept.collect())
     assert langid.predictions(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        langid.predictions(docs.where("lang is null"))
+    untaught = docs.where("lang is null")
+    assert {(r["lang_pred"], r["score"]) for r in langid.predictions(untaught).collect()} == {("und", 0.0)} and langid.keep(untaught).count() == untaught.count()
+    assert langid.keep(docs.limit(0)).count() == 0
+    assert langid.keep(spark.createDataFrame([(1, "12", "en"), (2, "", "de")], "doc_id long, text string, lang string")).count() == 2
+    clash = docs.withColumnRenamed("score", "__lang").withColumn("__score", F.lit(1))
+    assert langid.keep(clash).columns == clash.columns and langid.keep(clash).count() == kept.count()
+
+
+def test_temperature_makes_labels_likely():
+    rng = np.random.default_rng(5)
+    true = 7.0
+    lead = rng.normal(0, 20, (4000, 1))
+    own = rng.random(4000) < 1 / (1 + np.exp(-lead[:, 0] / true))
+    assert langid._temperature(np.where(own[:, None], lead, -lead)) == pytest.approx(true, rel=0.2)
+
+
+def test_score_tells_how_often_a_prediction_is_right():
+    """Of held-out pieces of 20 characters, those with a score about p are right about as often."""
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["lang", "text"]).to_pylist()
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r["lang"]].append(r["text"])
+    model = langid.Model.train({k: v[:240] for k, v in texts.items()})
+    model.calibrate({k: v[240:300] for k, v in texts.items()})
+    cut = [(k, p) for k, v in texts.items() for p in langid.pieces(v[300:700], 20)]
+    said, score = model.predict([p for _, p in cut])
+    right = np.array([s == k for s, (k, _) in zip(said, cut)])
+    sure = score >= 0.9
+    assert sure.mean() > 0.3 and right[sure].mean() > 0.9
 
 
 @pytest.mark.parametrize("unseen", ["en", "de", "es"])
