@@ -326,7 +326,7 @@ def judged(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
     if model.count() <= BROADCAST_GROUPS:
         d = d.join(F.broadcast(model), out["own"], "left")
     else:
-        model = model.withColumn(out["g"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        model = model.withColumn(out["g"], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         d = d.withColumn(out["g"], F.pmod(F.xxhash64(F.col(f"`{name}`")), F.lit(SALTS))).join(model, [out["own"], out["g"]], "left")
     far = _distance(vector(out), out["m"], out["p"])
     d = d.withColumn(out["distance"], F.when(~F.col(out["base_failed"]), far))

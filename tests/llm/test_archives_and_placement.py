@@ -59,8 +59,12 @@ def test_rolls_files_and_reads_plain_gzip(spark):
 @given(st.lists(st.binary(max_size=300), min_size=1, max_size=5), st.integers(1, 50))
 def test_members_in_any_blocks(payloads, block):
     data = b"".join(gzip.compress(warc.record("response", i, "u", p, warc.sha1_base32(p), len(p))) for i, p in enumerate(payloads))
-    assert [bytes(warc.parse(m)[1].split(b"\r\n\r\n", 1)[1]) for m in warc.members(io.BytesIO(data), block)] == payloads
-    assert [r[2] for r in warc.read_records(io.BytesIO(data))] == payloads
+    member, found = warc.Member(io.BytesIO(data), block), []
+    while member.begin():
+        found.append(b"".join(iter(lambda: member.read(7), b"")))
+    assert found == [gzip.decompress(gzip.compress(x)) for x in found] and len(found) == len(payloads) and all(p in m for p, m in zip(payloads, found))
+    assert [r[2] for r in warc.read_records(io.BytesIO(data), read_bytes=block)] == payloads
+    assert [r[2:5] for r in warc.read_records(io.BytesIO(data), "", False, block)] == [(None, len(p), warc.sha1_base32(p)) for p in payloads]
 
 
 @pytest.mark.parametrize("harm", [lambda d: d[:-3], lambda d: gzip.compress(gzip.decompress(d).replace(b"hello", b"jello")), lambda d: gzip.compress(gzip.decompress(d)[:-1]), lambda d: gzip.compress(b"nothing")])
@@ -71,6 +75,44 @@ def test_damage_is_found(harm):
         list(warc.read_records(io.BytesIO(harm(good))))
 
 
+def plain_record(kind, block, **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in fields.items()}}
+    return gzip.compress(b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others_are_read():
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\nbody"
+    kind = {"Content_Type": "application/http; msgtype=response"}
+    data = plain_record("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields")
+    data += plain_record("response", http, **kind)
+    data += plain_record("response", http, WARC_Block_Digest="sha256:" + hashlib.sha256(http).hexdigest(), WARC_Payload_Digest="md5:" + hashlib.md5(b"body").hexdigest(), **kind)
+    data += plain_record("response", http, WARC_Payload_Digest="unknown:xyz", **kind)
+    data += plain_record("revisit", b"", WARC_Payload_Digest="sha1:ABC", WARC_Refers_To="<urn:uuid:1>")
+    data += plain_record("resource", b"HTTP/1.1 no header", Content_Type="text/plain", WARC_Target_URI="u:x")
+    got = [(r[5], r[2], r[3], r[4]) for r in warc.read_records(io.BytesIO(data))]
+    digest = warc.sha1_base32(b"body")
+    assert got == [("warcinfo", b"software: x\r\n", 13, warc.sha1_base32(b"software: x\r\n")), *[("response", b"body", 4, digest)] * 3, ("revisit", None, None, "ABC"), ("resource", b"HTTP/1.1 no header", 18, warc.sha1_base32(b"HTTP/1.1 no header"))]
+    for bad in (plain_record("response", http, WARC_Payload_Digest="md5:" + "0" * 32, **kind), plain_record("response", http, WARC_Block_Digest="sha1:" + "A" * 32, **kind), plain_record("response", b"HTTP/1.1 200 OK", **kind)):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_inflated_blocks_are_bounded():
+    payload = b"\0" * (50 << 20)
+    data = gzip.compress(warc.record("response", 1, "u", payload, warc.sha1_base32(payload), len(payload)))
+    member = warc.Member(io.BytesIO(data), 4096)
+    assert member.begin()
+    while member.read(1 << 30):
+        assert len(member.data) <= 4096
+
+
+def test_many_repeated_digests_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    out = records(spark, [(i, f"u{i % 5}", "same" if i % 2 else f"own {i // 4}", None) for i in range(60)])
+    assert Counter((r["record_type"], r["refers_to"]) for r in out)[("revisit", 59)] == 29
+    assert sum(r["record_type"] == "response" for r in out) == 1 + 15
+
+
 def brute_table(names, size):
     """Turn by turn, by the definition."""
     order = {n: [(sharding._hash(n, b"offset") + j * (sharding._hash(n, b"step") % (size - 1) + 1)) % size for j in range(size)] for n in names}

@@ -446,7 +446,7 @@ def test_quality(spark):
     assert quality.verdicts(docs.limit(0)).count() == 0
 
 
-def test_quality_of_groups_that_are_too_small(spark):
+def test_quality_of_groups_that_are_too_small(spark, monkeypatch):
     ship(spark)
     rnd = random.Random(6)
     clean = lambda: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(100))
@@ -460,6 +460,10 @@ def test_quality_of_groups_that_are_too_small(spark):
     assert set(out.doc_id[~out.kept]) == {1000 + 10 * k for k in range(len(rare))}
     few = quality.verdicts(docs.where("lang is null or lang = 'fr' or source = 'rare'")).toPandas()
     assert few.distance.notna().all()
+    # Many estimates are not broadcast; the verdicts are the same.
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    salted = quality.verdicts(docs).toPandas()
+    assert dict(zip(salted.doc_id, salted.kept)) == dict(zip(out.doc_id, out.kept))
 
 
 VECTORS = "lang string, source string, pick long, " + ", ".join(f"{n} double" for n in quality.FLOORS)
