@@ -4,12 +4,14 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 from collections import Counter
 
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brindle.llm import sharding, urlfilter, warc
 from brindle.llm.common import shared_dir
@@ -189,3 +191,26 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages, rules.limit(0), default="block").collect()} == {"block"}
     assert urlfilter.judge(pages.limit(0), rules).count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_url_rules_of_many_hosts(spark):
+    rnd = random.Random(8)
+    label = lambda: rnd.choice("abcd") * rnd.randrange(1, 3)
+    path = lambda: "/" + "".join(rnd.choice("xy/") for _ in range(rnd.randrange(6)))
+    rules = [(".".join(label() for _ in range(rnd.randrange(1, 4))), path(), rnd.choice(["allow", "block"])) for _ in range(400)]
+    verdicts = {}
+    for h, p, v in rules:
+        verdicts[h, p] = max(verdicts.get((h, p), ""), v)
+    rules = [(h, p, v) for (h, p), v in verdicts.items()]
+    urls = [(i, f"http://{'.'.join(label() for _ in range(rnd.randrange(1, 5)))}{path()}{path()}") for i in range(500)]
+    out = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string").repartition(3), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    want = {i: brute_verdict(u, rules) for i, u in urls}
+    assert {r["page_id"]: tuple(r)[1:] for r in out.collect()} == want
+
+
+def test_a_row_that_fills_the_table(spark):
+    """Copies are made again by the partition they came from, never all in one row."""
+    pages = spark.range(0, 30_000, 1, 6).select((F.col("id") * 0).alias("page_id"), F.lit("http://a.net/es/").alias("url"))
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    out = urlfilter.judge(pages, rules)
+    assert out.count() == 30_000 and out.distinct().count() == 1
