@@ -152,6 +152,44 @@ class Segment:
         return cls(head[0], found, *head[1:])
 
 
+class SegmentView:
+    """Tokens of a segment in a file: each is found by small reads, one set for each level it reaches."""
+
+    def __init__(self, stream, offset: int):
+        self.stream = stream
+        magic, levels, self.size, docs, letters = HEAD.unpack(stream.read_at(HEAD.size, offset))
+        if magic != b"BDAC":
+            raise ValueError("no segment of token ids")
+        self.alphabet = at = offset + HEAD.size
+        at += 4 * letters + 17 * docs
+        #: Of each level where its chunks, bitmap and directory lie.
+        self.levels: list[tuple[int, int, int]] = []
+        for _ in range(levels):
+            (n,) = struct.unpack("<Q", stream.read_at(8, at))
+            blocks = -(-n // RANK_BITS)
+            self.levels.append((at + 8, at + 8 + n, at + 8 + n + blocks * RANK_BITS // 8))
+            at = self.levels[-1][2] + 8 * blocks
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int) -> int:
+        if not 0 <= i < self.size:
+            raise IndexError(i)
+        value = shift = 0
+        for chunks, bitmap, directory in self.levels:
+            value |= self.stream.read_at(1, chunks + i)[0] << shift
+            block = i // RANK_BITS
+            # The bits of the block up to this one's byte.
+            first = block * (RANK_BITS // 8)
+            bits = np.unpackbits(np.frombuffer(self.stream.read_at(i // 8 - first + 1, bitmap + first), np.uint8), bitorder="little")
+            if not bits[i - block * RANK_BITS]:
+                break
+            (before,) = struct.unpack("<Q", self.stream.read_at(8, directory + 8 * block))
+            i, shift = before + int(bits[: i - block * RANK_BITS].sum()), shift + 8
+        return struct.unpack("<I", self.stream.read_at(4, self.alphabet + 4 * value))[0]
+
+
 class FileWriter:
     """Appends documents to one file, a segment at a time."""
 
@@ -190,7 +228,7 @@ class FileWriter:
 
 
 class TokenFile:
-    """Random access to a file of segments; holds one segment at a time."""
+    """A file of segments: one token by a few small reads, documents by whole segments, one held at a time."""
 
     def __init__(self, fs, path: str):
         self.stream = fs.open_input_file(path)
@@ -200,7 +238,9 @@ class TokenFile:
             raise ValueError("no file of token ids")
         table = np.frombuffer(self.stream.read_at(16 * n, size - 8 - 16 * n), "<u8")
         self.offsets, self.before, self.end = table[:n].tolist(), table[n:], size - 8 - 16 * n
+        self.total = sum(len(SegmentView(self.stream, x)) for x in self.offsets[-1:]) + (int(self.before[-1]) if n else 0)
         self.loaded: tuple[int, Segment] | None = None
+        self.views: dict[int, SegmentView] = {}
 
     def segment(self, k: int) -> Segment:
         if self.loaded is None or self.loaded[0] != k:
@@ -208,9 +248,16 @@ class TokenFile:
             self.loaded = k, Segment.load(self.stream.read_at(end - self.offsets[k], self.offsets[k]))
         return self.loaded[1]
 
+    def __len__(self) -> int:
+        return self.total
+
     def __getitem__(self, i: int) -> int:
+        if not 0 <= i < self.total:
+            raise IndexError(i)
         k = int(np.searchsorted(self.before, i, "right")) - 1
-        return self.segment(k)[i - int(self.before[k])]
+        if k not in self.views:
+            self.views[k] = SegmentView(self.stream, self.offsets[k])
+        return self.views[k][i - int(self.before[k])]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         for k in range(len(self.offsets)):

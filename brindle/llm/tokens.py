@@ -3,8 +3,8 @@
 Such a tokenizer cuts a text before every space that stands before a word, and
 around a line break between words, whatever the rest of the text is. So the ids
 of a word depend on the word alone, and the library need see each word once.
-Words are known by a 64-bit hash of their bytes, found by array operations on
-many texts together. Texts for which that does not hold (runs of white space,
+Words are found by a 64-bit hash of their bytes, in array operations on many
+texts together, and their bytes are compared with those kept. Texts for which that does not hold (runs of white space,
 white space other than space and line feed, very long words) are encoded by the
 library whole.
 """
@@ -61,24 +61,34 @@ class Encoder:
         self.keys, self.record = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.count, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.flat, self.used, self.words = np.zeros(1 << 14, np.uint32), 0, 1
+        # The bytes of each record's word.
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
+        self.raw_start, self.raw_size = (np.zeros(1 << 12, np.int64) for _ in range(2))
 
     def _forget(self) -> None:
         again = (self.record > 0) & (self.uses[self.record] > 1)
         keys, old, start, count, uses, flat = self.keys[again], self.record[again], self.start, self.count, self.uses, self.flat
+        raw, raw_start, size = self.raw, self.raw_start[old], self.raw_size[old]
         self._clear()
         count, end = count[old], np.cumsum(count[old])
-        self._add(end - count, count, flat[np.repeat(start[old] - (end - count), count) + np.arange(int(count.sum()))])
+        raw = raw[np.repeat(raw_start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        self._add(end - count, count, flat[np.repeat(start[old] - (end - count), count) + np.arange(int(count.sum()))], raw, size)
         self.keys, self.record = keys, np.arange(1, len(old) + 1)
         self.uses[1 : len(old) + 1] = uses[old] // 2
 
-    def _add(self, start: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        """New records, their ids at ``start`` within ``ids``."""
+    def _add(self, start: np.ndarray, count: np.ndarray, ids: np.ndarray, raw: np.ndarray, size: np.ndarray) -> None:
+        """New records, their ids at ``start`` within ``ids``, their words one after the other in ``raw``."""
         while self.words + len(start) > len(self.start):
-            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
+            self.start, self.count, self.uses, self.raw_start, self.raw_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses, self.raw_start, self.raw_size))
+        while self.raw_used + len(raw) >= len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         while self.used + len(ids) >= len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         where = slice(self.words, self.words + len(start))
         self.start[where], self.count[where] = start + self.used, count
+        self.raw_start[where], self.raw_size[where] = np.cumsum(size) - size + self.raw_used, size
+        self.raw[self.raw_used : self.raw_used + len(raw)] = raw
+        self.raw_used += len(raw)
         self.flat[self.used : self.used + len(ids)] = ids
         self.words, self.used = self.words + len(start), self.used + len(ids)
 
@@ -119,6 +129,7 @@ class Encoder:
             self._learn(keys[missing], data, begin[first], end[first], hashes)
             record = self._records(keys)
         at = record[inverse]
+        at[self._differ(at, codes, begin, end)] = 0
         self.uses[: self.words] += np.bincount(at, minlength=self.words)
         sizes = np.diff(np.searchsorted(begin, np.cumsum([len(p) for p in parts])), prepend=0)
         first = np.cumsum(sizes) - sizes
@@ -132,6 +143,12 @@ class Encoder:
         if self.words > self.max_words:
             self._forget()
 
+    def _differ(self, at: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether a word, of those that ``codes`` consists of, has the hash but not the bytes of its record's."""
+        size = end - begin
+        kept = np.take(self.raw, np.repeat(self.raw_start[at] - begin, size) + np.arange(len(codes)), mode="clip")
+        return (at > 0) & ((self.raw_size[at] != size) | np.logical_or.reduceat(kept != codes, begin))
+
     def _records(self, keys: np.ndarray) -> np.ndarray:
         """The record of each (sorted) key, -1 for those not known."""
         if not len(self.keys):
@@ -164,12 +181,17 @@ class Encoder:
         unknown = np.flatnonzero(self._records(unique) < 0)
         self._ask(unique[unknown], [words[which[first[i]]][:-1] for i in unknown])
         record = self._records(unique)[inverse]
+        same = np.array([r > 0 and self.raw[self.raw_start[r] : self.raw_start[r] + self.raw_size[r]].tobytes() == words[i][:-1].encode() for r, i in zip(record.tolist(), which.tolist())])
+        self._name(keys[which[~same]], np.zeros(int((~same).sum()), np.int64))
+        which, record = which[same], record[same]
+        if not len(which):
+            return
         count = self.count[record] + 1
         last = np.cumsum(count)
         ids = self.flat[np.repeat(self.start[record] - (last - count), count) + np.arange(int(last[-1]))]
         ids[last - 1] = [self.marks[words[i][-1]] for i in which]
         self._name(keys[which], np.arange(self.words, self.words + len(which)))
-        self._add(last - count, count, ids)
+        self._add(last - count, count, ids, *_bytes([words[i] for i in which]))
 
     def _ask(self, keys: np.ndarray, words: list[str]) -> None:
         """Have the library encode words, parted by line breaks; a word that begins with one has a second."""
@@ -179,7 +201,13 @@ class Encoder:
             breaks = np.flatnonzero(ids == self.feed[0])
             own = np.array([w[0] == "\n" for w in call])
             begin = breaks[np.arange(len(call)) + np.cumsum(own) - own] + 1
-            self._add(begin, np.append(begin[1:] - 1, len(ids)) - begin, ids)
+            self._add(begin, np.append(begin[1:] - 1, len(ids)) - begin, ids, *_bytes(call))
+
+
+def _bytes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words one after the other, and the size of each."""
+    data = [w.encode() for w in words]
+    return np.frombuffer(b"".join(data), np.uint8), np.array([len(x) for x in data], np.int64)
 
 
 def _pieces(text: str) -> Iterator[str]:

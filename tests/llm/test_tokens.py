@@ -1,5 +1,6 @@
 """The word cache, token files, packing."""
 
+import io
 import random
 import zlib
 from collections import Counter
@@ -45,6 +46,52 @@ def test_long_texts_in_pieces(library, encoder, monkeypatch):
         assert np.array_equal(got, library(text))
 
 
+def test_words_whose_hashes_collide(library, monkeypatch):
+    real = tokens.prefix_hashes
+    monkeypatch.setattr(tokens, "prefix_hashes", lambda codes: lambda begin, end, h=real(codes): h(begin, end) & np.uint64(31))
+    rnd = random.Random(3)
+    weak = tokens.Encoder(PATH, max_words=20)
+    for _ in range(5):
+        texts = [" ".join("".join(rnd.choices("abcde", k=rnd.randrange(1, 6))) + rnd.choice(["", ",", "."]) for _ in range(rnd.randrange(12))) for _ in range(40)]
+        for got, text in zip(weak.encode(texts), texts, strict=True):
+            assert np.array_equal(got, library(text))
+
+
+class Counting:
+    """A file in memory that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.bytes = data, 0
+
+    def open_input_file(self, path):
+        return self
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        self.bytes += n
+        return self.data[at : at + n]
+
+
+def test_a_token_is_found_by_small_reads():
+    rng = np.random.default_rng(0)
+    ids = (rng.pareto(0.4, 300_000) * 3).clip(0, 90_000).astype(np.uint32)
+    out = io.BytesIO()
+    out.close, writer = lambda: None, token_codes.FileWriter(out, 100_000)
+    for k in range(0, len(ids), 1000):
+        writer.add(k, ids[k : k + 1000])
+    writer.close()
+    file = token_codes.TokenFile(held := Counting(out.getvalue()), "")
+    assert len(file) == len(ids)
+    some = rng.integers(0, len(ids), 300).tolist() + [0, 511, 512, len(ids) - 1]
+    assert [file[i] for i in some] == ids[some].tolist()
+    assert held.bytes < 300 * len(some)
+    for bad in (-1, len(ids)):
+        with pytest.raises(IndexError):
+            file[bad]
+
+
 @pytest.mark.parametrize(("n", "high"), [(0, 1), (1, 1), (512, 2), (1024, 70_000), (3000, 3_000_000)])
 def test_segments_give_any_token(n, high):
     rng = np.random.default_rng(n)
