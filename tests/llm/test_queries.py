@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -44,3 +45,28 @@ def test_pipeline(spark):
     assert decontaminate.find(passages[0], found)
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(rows)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_with_nulls_clashes_and_nothing(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.first()
+    odd = [(None, None, None, None, None), (None, first["text"], None, None, 1), (-5, "", "en", "s", 0), (first["doc_id"], first["text"], first["lang"], first["source"], 1), (-6, "long words of a text " * 40_000, "en", "s", 1)]
+    clash = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for column in ("__own", "__lang", "__score", "__string", "kept", "g", "n", "rank", "item_id", "distance", "sequence_id", "n_words"):
+        clash = clash.withColumn(column, F.lit(7))
+    out = stage(spark, clash, SF)
+    rows = out.count()
+    if name == "packing":
+        assert out.where("doc_id is null").agg(F.sum("length")).first()[0] > 1
+    else:
+        assert out.columns == clash.columns and 0 < rows <= clash.count()
+        assert out.where("kept <> 7 or __own <> 7 or rank <> 7").count() == 0
+    assert stage(spark, clash.limit(0), SF).count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    for table in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
