@@ -72,7 +72,23 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int, times: str
     many = max(HOT_ROWS, rows // HOT_KEYS)
     hot = F.broadcast(right.where(F.col(times) > many))
     cold = left.join(F.broadcast(right.where(F.col(times) > many).select(key)), key, "left_anti")
-    return left.join(hot, key).unionByName(cold.join(right.where(F.col(times) <= many), key))
+    return left.join(hot, key).unionByName(cold.join(right.where(F.col(times) <= many).hint("merge"), key))
+
+
+BITMAP_WORDS = 1 << 18
+
+
+def perhaps_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of ``left`` whose key is in ``right``, and a few others.
+
+    A bitmap of the hashes of the keys, broadcast, drops the rest before
+    anything moves. It has ``BITMAP_WORDS`` rows of 64 bits at most, whatever
+    the data; the more keys there are, the more of the others pass.
+    """
+    word, bit, bits = "__word", "__bit", "__bits"
+    hashed = lambda df: df.withColumn(word, F.shiftrightunsigned(F.xxhash64(key), 46)).withColumn(bit, F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 as int))"))
+    bitmap = hashed(right.select(key)).groupBy(word).agg(F.bit_or(bit).alias(bits))
+    return hashed(left).join(F.broadcast(bitmap), word).where(F.col(bits).bitwiseAND(F.col(bit)) != 0).drop(word, bit, bits)
 
 
 def fresh(df: DataFrame, name: str) -> str:

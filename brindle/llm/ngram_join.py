@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hot_join, removed, written
+from .common import fresh, hot_join, perhaps_in, removed, written
 from .components import components
 from .words import mixed, parted, shingles
 
@@ -216,23 +216,25 @@ def _compared(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.mapInArrow(run, "rank binary, links long, root binary, whole boolean")
 
 
-def _assigned(met: DataFrame, grown: DataFrame, depths: list[int], root: int, depth: int) -> DataFrame:
+def _assigned(met: DataFrame, grown: DataFrame, root: int, depth: int) -> DataFrame:
     """``(rank, size, tree, key)``: in each tree the shortest prefix of a document that some document chose, where others share it.
 
-    A document's choice is its prefix of ``depths[size]`` levels; a prefix is
-    chosen if one document chose it and another has it.
+    A document's choice is its prefix of ``own`` levels; a prefix is chosen if
+    one document chose it and another has it. ``low`` is the least choice among
+    documents with the same root: where it is the root, that holds for all.
     """
-    own = F.element_at(F.array(*[F.lit(d) for d in depths]), F.least(F.col("size"), F.lit(len(depths) - 1)).cast("int") + 1)
-    prefix = F.when(F.col("level") == root, F.col("root"))
+    plain = met.where(F.col("low") == root).select("rank", "size", "tree", F.col("root").alias("key"))
+    deep = met.where(F.col("low") > root).join(grown.select("rank", "rests").hint("merge"), "rank").withColumn("rest", F.col("rests")[F.col("tree")])
+    prefix = F.lit(None).cast("long")
     for d in range(root + 1, depth + 1):
-        prefix = prefix.when(F.col("level") == d, F.xxhash64(F.col("root"), F.shiftrightunsigned("rest", LEVEL_BITS * (depth - d)), F.lit(d)))
-    at = met.join(grown.select("rank", "rests"), "rank").select("rank", "size", "tree", "root", F.col("rests")[F.col("tree")].alias("rest"), own.alias("own"))
-    at = at.withColumn("level", F.explode(F.sequence(F.lit(root), F.lit(depth))))
-    at = written(at.select("rank", "size", "tree", "level", (F.col("level") == F.col("own")).alias("own"), F.when(prefix == 0, 1).otherwise(prefix).alias("key")), "levels")
+        prefix = F.when(F.col("level") == d, F.xxhash64(F.col("root"), F.shiftrightunsigned("rest", LEVEL_BITS * (depth - d)), F.lit(d))).otherwise(prefix)
+    deep = deep.withColumn("level", F.explode(F.sequence(F.lit(root), F.lit(depth)))).where(F.col("level") > root)
+    at = written(deep.select("rank", "size", "tree", "level", (F.col("level") == F.col("own")).alias("own"), prefix.alias("key")), "levels")
     chosen = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("chosen")).where("n > 1 and chosen")
     chosen = written(chosen.select("key", "n"), "chosen")
-    out = hot_join(at.drop("own"), chosen, "key", at.count()).groupBy("rank", "size", "tree").agg(F.min(F.struct("level", "key")).alias("at"))
-    out = written(out.select("rank", "size", "tree", "at.key"), "prefixes")
+    deep = hot_join(at.drop("own"), chosen, "key", at.count()).groupBy("rank", "size", "tree").agg(F.min(F.struct("level", "key")).alias("at"))
+    out = plain.unionByName(deep.select("rank", "size", "tree", "at.key"))
+    out = written(out.withColumn("key", F.when(F.col("key") == 0, 1).otherwise(F.col("key"))), "prefixes")
     removed(at, chosen)
     return out
 
@@ -250,9 +252,9 @@ def _groups(at: DataFrame, cell: int, cell_bytes: int) -> DataFrame:
     met = written(hot_join(at.drop("tree"), keys, "key", rows), "met")
     comps = written(components(met.select(F.col("rank").alias("u"), F.col("least").alias("v"))).select(F.col("node").alias("rank"), F.col("root").alias("comp")), "hanging")
     members = met.count()
-    sizes = met.select("rank", "size").distinct().join(comps, "rank").groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("of"))
+    sizes = met.select("rank", "size").distinct().join(comps.hint("merge"), "rank").groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("of"))
     # Prefixes by component; a component has at most as many prefixes as rows of ``met``.
-    of_key = written(keys.join(comps.withColumnRenamed("rank", "least"), "least"), "keys-of")
+    of_key = written(keys.join(comps.withColumnRenamed("rank", "least").hint("merge"), "least"), "keys-of")
     work = of_key.groupBy("comp").agg(F.sum(F.col("n") * F.col("n")).alias("by_keys"))
     small = (F.col("docs") <= cell) & (F.col("of") * 8 <= cell_bytes)
     sizes = written(sizes.join(work, "comp").withColumn("whole", small | (F.col("docs") * F.col("docs") <= F.col("by_keys"))), "hanging-sizes")
@@ -283,13 +285,15 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), least, F.first("size").alias("size"), F.first("roots").alias("roots"))
     nodes = written(nodes.select("node", "copies", "size", "roots", _rank(F.col("least.doc_id"), F.col("node")).alias("rank")), "nodes")
 
-    met = nodes.select("rank", "size", F.posexplode("roots").alias("tree", "root"))
-    shared = written(met.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "roots")
-    met = written(hot_join(met, shared, "root", nodes.count() * trees).drop("n"), "met")
+    own = F.element_at(F.array(*[F.lit(d) for d in depths]), F.least(F.col("size"), F.lit(len(depths) - 1)).cast("int") + 1)
+    met = nodes.select("rank", "size", own.alias("own"), F.posexplode("roots").alias("tree", "root"))
+    shared = written(met.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("low")).where("n > 1"), "roots")
+    met = written(hot_join(perhaps_in(met, shared, "root"), shared, "root", nodes.count() * trees).drop("n"), "met")
     wanted = written(met.select("rank").distinct(), "wanted")
-    held = texts.select(_rank(F.col("doc_id"), F.col("node")).alias("rank"), "text").join(wanted, "rank").dropDuplicates(["rank"])
+    held = perhaps_in(texts.select(_rank(F.col("doc_id"), F.col("node")).alias("rank"), "text"), wanted, "rank")
+    held = held.join(wanted.hint("merge"), "rank").dropDuplicates(["rank"])
     grown = written(_grown(held, size, trees, root, depth), "grown")
-    at = _assigned(met, grown, depths, root, depth)
+    at = _assigned(met, grown, root, depth)
     groups = _groups(at, cell, cell_bytes)
 
     parts = F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("shingles") * 8 / cell_bytes)).cast("int")
@@ -297,9 +301,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     seen = at.groupBy("rank").agg(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.element_at(seen, t), F.lit(0))).alias("keys"))
     cells = groups.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rank", "g"), F.col("parts")).cast("int"))
     cells = cells.groupBy("rank").agg(F.collect_list(F.struct("g", "parts", "part", "tree")).alias("cells"), F.max("tree").alias("last"))
-    cells = cells.join(seen, "rank").select("rank", "cells", F.when(F.col("last") > 0, F.col("keys")).alias("keys"))
-    cells = written(cells.join(nodes.select("rank", "copies"), "rank"), "cells")
-    cells = cells.join(grown.select("rank", "shingles"), "rank").withColumn("cell", F.explode("cells")).select("*", "cell.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.join(seen.hint("merge"), "rank").select("rank", "cells", F.when(F.col("last") > 0, F.col("keys")).alias("keys"))
+    cells = written(cells.join(nodes.select("rank", "copies").hint("merge"), "rank"), "cells")
+    cells = cells.join(grown.select("rank", "shingles").hint("merge"), "rank").withColumn("cell", F.explode("cells")).select("*", "cell.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     whole = (F.col("parts") == 1) & (F.col("tree") < 0)
     cells = cells.select("g", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), whole.alias("whole"), (F.col("part") > F.col("other")).cast("int").alias("side"), "tree", "rank", "copies", "keys", "shingles")
     found = written(_compared(cells.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b"), threshold), "links")
@@ -308,7 +312,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     # A component that was one cell is settled; the rest hangs together across cells.
     roots = components(found.where("not whole").select(F.col("rank").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rank"), "root")
     roots = roots.unionByName(found.where("whole").select("rank", "root"))
-    each = nodes.select("node", "rank", "copies").join(links, "rank", "left").join(roots, "rank", "left")
+    each = nodes.select("node", "rank", "copies").join(links.hint("merge"), "rank", "left").join(roots.hint("merge"), "rank", "left")
     each = each.select("node", "copies", "rank", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rank").alias("class_rank"))
     each = written(each, "classes")
     removed(nodes, shared, met, wanted, grown, at, groups, found)
