@@ -231,11 +231,10 @@ def _assigned(met: DataFrame, grown: DataFrame, root: int, depth: int) -> DataFr
     deep = deep.withColumn("level", F.explode(F.sequence(F.lit(root), F.lit(depth)))).where(F.col("level") > root)
     at = written(deep.select("rank", "size", "tree", "level", (F.col("level") == F.col("own")).alias("own"), prefix.alias("key")), "levels")
     chosen = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("chosen")).where("n > 1 and chosen")
-    chosen = written(chosen.select("key", "n"), "chosen")
-    deep = hot_join(at.drop("own"), chosen, "key", at.count()).groupBy("rank", "size", "tree").agg(F.min(F.struct("level", "key")).alias("at"))
+    deep = hot_join(at.drop("own"), chosen.select("key", "n"), "key", at.count()).groupBy("rank", "size", "tree").agg(F.min(F.struct("level", "key")).alias("at"))
     out = plain.unionByName(deep.select("rank", "size", "tree", "at.key"))
     out = written(out.withColumn("key", F.when(F.col("key") == 0, 1).otherwise(F.col("key"))), "prefixes")
-    removed(at, chosen)
+    removed(at)
     return out
 
 
@@ -250,11 +249,11 @@ def _groups(at: DataFrame, cell: int, cell_bytes: int) -> DataFrame:
     # Of prefixes with the same documents only the first tree's is compared.
     keys = written(keys.groupBy("n", "who").agg(F.min(F.struct("tree", "key", "shingles", "least")).alias("at")).select("n", "at.*"), "keys")
     met = written(hot_join(at.drop("tree"), keys, "key", rows), "met")
-    comps = written(components(met.select(F.col("rank").alias("u"), F.col("least").alias("v"))).select(F.col("node").alias("rank"), F.col("root").alias("comp")), "hanging")
+    comps = components(met.select(F.col("rank").alias("u"), F.col("least").alias("v"))).select(F.col("node").alias("rank"), F.col("root").alias("comp"))
     members = met.count()
     sizes = met.select("rank", "size").distinct().join(comps.hint("merge"), "rank").groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("of"))
     # Prefixes by component; a component has at most as many prefixes as rows of ``met``.
-    of_key = written(keys.join(comps.withColumnRenamed("rank", "least").hint("merge"), "least"), "keys-of")
+    of_key = keys.join(comps.withColumnRenamed("rank", "least").hint("merge"), "least")
     work = of_key.groupBy("comp").agg(F.sum(F.col("n") * F.col("n")).alias("by_keys"))
     small = (F.col("docs") <= cell) & (F.col("of") * 8 <= cell_bytes)
     sizes = written(sizes.join(work, "comp").withColumn("whole", small | (F.col("docs") * F.col("docs") <= F.col("by_keys"))), "hanging-sizes")
@@ -265,7 +264,7 @@ def _groups(at: DataFrame, cell: int, cell_bytes: int) -> DataFrame:
     by_key = hot_join(met, by_key.join(keys.select("key", F.col("n").alias("docs")), "key"), "key", members, "docs")
     by_key = by_key.select("rank", F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("g"), "n", "shingles", F.col("tree").cast("int").alias("tree"))
     out = written(whole.unionByName(by_key), "groups")
-    removed(keys, met, comps, of_key, sizes)
+    removed(keys, met, sizes)
     return out
 
 
@@ -289,7 +288,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     met = nodes.select("rank", "size", own.alias("own"), F.posexplode("roots").alias("tree", "root"))
     shared = written(met.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("low")).where("n > 1"), "roots")
     met = written(hot_join(perhaps_in(met, shared, "root"), shared, "root", nodes.count() * trees).drop("n"), "met")
-    wanted = written(met.select("rank").distinct(), "wanted")
+    wanted = met.select("rank").distinct()
     held = perhaps_in(texts.select(_rank(F.col("doc_id"), F.col("node")).alias("rank"), "text"), wanted, "rank")
     held = held.join(wanted.hint("merge"), "rank").dropDuplicates(["rank"])
     grown = written(_grown(held, size, trees, root, depth), "grown")
@@ -302,7 +301,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     cells = groups.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rank", "g"), F.col("parts")).cast("int"))
     cells = cells.groupBy("rank").agg(F.collect_list(F.struct("g", "parts", "part", "tree")).alias("cells"), F.max("tree").alias("last"))
     cells = cells.join(seen.hint("merge"), "rank").select("rank", "cells", F.when(F.col("last") > 0, F.col("keys")).alias("keys"))
-    cells = written(cells.join(nodes.select("rank", "copies").hint("merge"), "rank"), "cells")
+    cells = cells.join(nodes.select("rank", "copies").hint("merge"), "rank")
     cells = cells.join(grown.select("rank", "shingles").hint("merge"), "rank").withColumn("cell", F.explode("cells")).select("*", "cell.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     whole = (F.col("parts") == 1) & (F.col("tree") < 0)
     cells = cells.select("g", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), whole.alias("whole"), (F.col("part") > F.col("other")).cast("int").alias("side"), "tree", "rank", "copies", "keys", "shingles")
@@ -315,7 +314,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     each = nodes.select("node", "rank", "copies").join(links.hint("merge"), "rank", "left").join(roots.hint("merge"), "rank", "left")
     each = each.select("node", "copies", "rank", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rank").alias("class_rank"))
     each = written(each, "classes")
-    removed(nodes, shared, met, wanted, grown, at, groups, found)
+    removed(nodes, shared, met, grown, at, groups, found)
     return rows.select("doc_id", "node"), each
 
 
