@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import pickle
 import shutil
 import tempfile
 import uuid
@@ -38,6 +39,27 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def stored(spark: SparkSession, value: object, name: str) -> str:
+    """Pickle a value of bounded size into the shared folder; returns its URI.
+
+    Workers that serve many queries hold every broadcast they met; of these
+    values they hold the last one.
+    """
+    uri = shared_dir(spark, name)
+    fs, path = open_fs(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(path) as out:
+        pickle.dump(value, out, protocol=5)
+    return uri
+
+
+@functools.lru_cache(maxsize=1)
+def loaded(uri: str) -> object:
+    fs, path = open_fs(uri)
+    with fs.open_input_file(path) as stream:
+        return pickle.loads(stream.read())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -112,8 +134,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_SETTING, BATCH_ROWS, DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session's executors, once for each application."""
+    """Send this package to the Python workers of the session's executors, once for each application.
+
+    Texts are long rows: where the session has Spark's default size of Arrow
+    batches, it gets smaller ones, for the sake of executors' memory.
+    """
+    if spark.conf.get(BATCH_SETTING) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, shared_dir, with_string
+from .common import loaded, open_fs, shared_dir, with_string
 from .words import parts
 
 Q = 12
@@ -286,20 +286,15 @@ def write_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, q: int
 def _searcher(files: list[str], at: int, done: Callable[[pa.RecordBatch, list[list[tuple]]], pa.RecordBatch | None]):
     """A function for ``mapInArrow``: ``done`` gets rows and, for each, the names and matches of the passages in column ``at``."""
 
-    def load(file: str) -> Passages:
-        fs, path = open_fs(file)
-        with fs.open_input_file(path) as stream:
-            return pickle.loads(stream.read())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = load(files[0]) if len(files) == 1 else None
+        only = loaded(files[0]) if len(files) == 1 else None
         held: list[pa.RecordBatch] = []
         size = 0
 
         def searched() -> Iterator[pa.RecordBatch]:
             found: list[list[list[tuple]]] = [[[] for _ in range(rows.num_rows)] for rows in held]
             for file in files:
-                passages = only or load(file)
+                passages = only or loaded(file)
                 for rows, hits in zip(held, found):
                     for text, mine in zip(rows.column(at).to_pylist(), hits):
                         if text:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, with_string
+from .common import fresh, loaded, stored, with_string
 from .words import grouped, mixed, parted
 
 ORDER = 5
@@ -363,14 +363,14 @@ def _has_letter(text: str) -> bool:
 
 def with_language(docs: DataFrame, model: Model, text_col: str, lang_out: str, score_out: str) -> DataFrame:
     """``docs`` with two more columns: language and score of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = stored(docs.sparkSession, model, "language-models")
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in parted(batch, at):
-                lang, score = shared.value.predict(texts)
+                lang, score = loaded(held).predict(texts)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import numpy as np
 
 from .words import prefix_hashes
 
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 MAX_WORDS = 600_000
 LONG_WORD = 200
 WORDS_A_CALL = 256
@@ -59,11 +59,11 @@ class Encoder:
     def _clear(self) -> None:
         # Record 0 is for words whose text is to be encoded whole.
         self.keys, self.record = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.count, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.start, self.count, self.uses = (np.zeros(1 << 12, np.int32) for _ in range(3))
         self.flat, self.used, self.words = np.zeros(1 << 14, np.uint32), 0, 1
         # The bytes of each record's word.
         self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
-        self.raw_start, self.raw_size = (np.zeros(1 << 12, np.int64) for _ in range(2))
+        self.raw_start, self.raw_size = (np.zeros(1 << 12, np.int32) for _ in range(2))
 
     def _forget(self) -> None:
         again = (self.record > 0) & (self.uses[self.record] > 1)
