@@ -162,22 +162,27 @@ def output_name(e: ast.Expr, index: int) -> str:
     return ".".join(e.parts) if isinstance(e, ast.Qualified) else f"expr_{index}"
 
 
-def byte_order(table: Table) -> list[Column]:
-    """Sort keys that put rows into the byte order of their encoded primary keys."""
+def byte_key(table: Table) -> list[Column]:
+    """Values that compare like the encoded primary keys."""
     out: list[Column] = []
     for k in table.primary_key:
         c, kind = F.col(name(k)), table.column(k).type
         if kind in (TEXT, BLOB):
-            out += [F.octet_length(c).asc(), c.cast("binary").asc()]
+            out += [F.octet_length(c), c.cast("binary")]
         elif kind == BOOLEAN:
-            out.append(c.asc())
+            out.append(c)
         elif kind == FLOAT:
-            out += [(c < 0).asc(), F.abs(c).asc()]
+            out += [c < 0, F.abs(c)]
         else:
-            out += [(c < 0).asc(), c.asc()]
+            out += [c < 0, c]
     return out
 
 
+def byte_order(table: Table) -> list[Column]:
+    """Sort keys that put rows into the byte order of their encoded primary keys."""
+    return [c.asc() for c in byte_key(table)]
+
+
 def order_keys(items: tuple[ast.OrderItem, ...], scope: Scope) -> list[Column]:
     """NULL is the greatest value: last ascending, first descending."""
     columns = [(lower(i.expr, scope).column, i.descending) for i in items]

@@ -19,7 +19,7 @@ from .catalog import Column as TableColumn
 from .errors import EngineError, ExecutionError, PrimaryKeyConflict, ResourceLimitExceeded, TransactionError
 from .governance import Cancellation, Limits, authorize, governed, value_bytes
 from .plans import logical
-from .plans.lowering import Typed, byte_order, data_frame, lower, name, table_scope
+from .plans.lowering import Typed, byte_key, data_frame, lower, name, table_scope
 from .sql import ast, parse, validate
 from .sql.validator import definition
 from .store import COMMIT, SEQUENCE, TOMBSTONE, FileSet, Store
@@ -340,7 +340,7 @@ class Session:
             versions = rows.select(*columns, F.lit(self._tx.next()).cast("long").alias(SEQUENCE), F.lit(False).alias(TOMBSTONE))
             return self._stage(table, versions)
         old = [F.col(name(k)).alias(f"__old_{i}") for i, k in enumerate(table.primary_key)]
-        rank = F.row_number().over(_window(byte_order(table))).alias("__rank")
+        rank = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(byte_key(table))]).alias("__rank")
         moved = rows.select(*columns, *old, rank)
         if self._key_conflict(table, moved):
             raise PrimaryKeyConflict(table.name)
@@ -377,12 +377,6 @@ class Session:
         return n
 
 
-def _window(order: list[Column]):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order)
-
-
 def _stored_as(x: Typed, column: TableColumn) -> Column:
     """A value as the column holds it, or an error for the row."""
     kind = types.SPARK[column.type]
