@@ -107,10 +107,23 @@ def perhaps_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     anything moves. It has ``BITMAP_WORDS`` rows of 64 bits at most, whatever
     the data; the more keys there are, the more of the others pass.
     """
-    word, bit, bits = "__word", "__bit", "__bits"
-    hashed = lambda df: df.withColumn(word, F.shiftrightunsigned(F.xxhash64(key), 46)).withColumn(bit, F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 as int))"))
-    bitmap = hashed(right.select(key)).groupBy(word).agg(F.bit_or(bit).alias(bits))
-    return hashed(left).join(F.broadcast(bitmap), word).where(F.col(bits).bitwiseAND(F.col(bit)) != 0).drop(word, bit, bits)
+    return _by_bitmap(left, right, key, True)
+
+
+def surely_not_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of ``left`` that ``perhaps_in`` drops."""
+    return _by_bitmap(left, right, key, False)
+
+
+def _by_bitmap(left: DataFrame, right: DataFrame, key: str, inside: bool) -> DataFrame:
+    word = fresh(left, "word")
+    bits = fresh(left, "bits")
+    hashed = F.xxhash64(F.col(f"`{key}`"))
+    at, bit = F.shiftrightunsigned(hashed, 46), F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 as int))")
+    bitmap = right.select(at.alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(bits))
+    found = left.withColumn(word, at).join(F.broadcast(bitmap), word, "left")
+    has = F.coalesce(F.col(f"`{bits}`"), F.lit(0)).bitwiseAND(bit) != 0
+    return found.where(has if inside else ~has).select(*[F.col(f"`{c}`") for c in left.columns])
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -369,7 +369,8 @@ def with_language(docs: DataFrame, model: Model, text_col: str, lang_out: str, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in parted(batch, at):
+            # Arrays of many characters pay for the look-ups of each order.
+            for rows, texts in parted(batch, at, 1 << 20):
                 lang, score = loaded(held).predict(texts)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.fieldNames())
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hot_join, perhaps_in, removed, written
+from .common import fresh, hot_join, perhaps_in, removed, surely_not_in, written
 from .components import components
 from .words import mixed, parted, shingles
 
@@ -345,8 +345,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     ones. A null id stays where its class has no other. Of rows with the same id
     and text one stays, any of them; of different texts with the least id, that
     with the least digest. An empty table stays empty. Columns may have any
-    names. Rows that go are found by an anti join, so rows that stay move only
-    where the table of those that go is too large to broadcast.
+    names. Rows that go are found by an anti join, after a bitmap has told most
+    of those that stay, which don't move.
     """
     rows, each = classes(_plain(docs, id_col, text_col), **options)
     # (id, text) of rows that go, and of rows that stay once though they come several times.
@@ -359,7 +359,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     named = docs.withColumn(own, _rank(F.col(f"`{id_col}`").cast("long"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     decided = listed.select(F.col("own").alias(own), "stays")
-    out = named.join(decided.select(own), own, "left_anti").select(*columns)
+    # A row that the bitmap of these does not hold stays where it is.
+    perhaps = perhaps_in(named, decided.select(own), own)
+    out = surely_not_in(named, decided.select(own), own).select(*columns)
+    out = out.unionByName(perhaps.join(decided.select(own).hint("merge"), own, "left_anti").select(*columns))
     if listed.where("stays").isEmpty():
         return out
-    return out.unionByName(named.join(decided.where("stays").select(own), own, "left_semi").dropDuplicates([own]).select(*columns))
+    return out.unionByName(perhaps.join(decided.where("stays").select(own).hint("merge"), own, "left_semi").dropDuplicates([own]).select(*columns))
