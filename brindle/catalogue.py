@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from . import types
 from .catalog import Column, Table
-from .operators import relational, versions
+from .errors import WriteWriteConflict
+from .operators import compaction, relational, versions
 from .session import Session
+from .sources.keyvalue import KeyValueLog
 from .store import Store
 
 KEYS = {
@@ -92,9 +94,9 @@ def _space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.live_bytes(_log(spark, sf_dir, "props"), ["user_id"], "event_id", "props").select("space_amplification")
 
 
-def _ranges(spark: SparkSession, sf_dir: str, left: str = "p_partkey <= 200") -> DataFrame:
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    a = part.where(left).select(F.col("p_partkey").alias("l"), (F.col("p_partkey") + F.col("p_size")).alias("l_end"))
+    a = part.select(F.col("p_partkey").alias("l"), (F.col("p_partkey") + F.col("p_size")).alias("l_end"))
     b = part.select(F.col("p_partkey").alias("r"), F.col("p_partkey").alias("r_end"))
     return relational.overlapping(a, b, ("l", "l_end"), ("r", "r_end"), 64).where("l < r").select("l", "r")
 
@@ -115,6 +117,80 @@ def _renamed(text: str, name: str, **columns: str) -> Query:
     return lambda spark, sf_dir: reader(spark, sf_dir, name).frame(text).toDF(*columns.values())
 
 
+def _first_committer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two transactions that change a row, the second to commit fails."""
+    first = stored(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    second = Session(spark, first.store)
+    for session, word in ((first, "FIRST"), (second, "SECOND")):
+        session.sql(f"BEGIN; UPDATE nation SET n_name = '{word}' WHERE n_nationkey = 3")
+    first.sql("COMMIT")
+    try:
+        second.sql("COMMIT")
+    except WriteWriteConflict:
+        return first.frame("SELECT n_nationkey, n_name FROM nation")
+    raise AssertionError("the second commit must fail")
+
+
+def _point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key as it was before it was changed."""
+    session = stored(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    before = session.store.state.ts
+    session.sql("UPDATE nation SET n_name = 'NOW'")
+    return session.as_of("nation", before).where("n_nationkey = 7").select("n_nationkey", "n_name")
+
+
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store opened anew on what another one wrote."""
+    session = stored(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
+    session.sql("UPDATE customer SET c_acctbal = c_acctbal - 1.0")
+    return Session(spark, Store(spark, session.store.root)).frame("SELECT c_custkey, c_acctbal FROM customer")
+
+
+def _vacuumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = stored(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
+    session.sql("UPDATE customer SET c_acctbal = c_acctbal + 2.0")
+    held = session.store.catalog.get_table("customer")
+    session.store.compact(held, force=True)
+    session.store.vacuum(held)
+    return session.frame("SELECT c_custkey, c_acctbal FROM customer")
+
+
+def _recreated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dropped table's name is free, and its rows are gone."""
+    session = stored(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    kept = session.frame("SELECT r_regionkey, r_name FROM region WHERE r_regionkey = 2").first()
+    session.sql("DROP TABLE region")
+    session.sql("CREATE TABLE region (r_regionkey INTEGER NOT NULL, r_name TEXT, PRIMARY KEY (r_regionkey))")
+    session.sql(f"INSERT INTO region (r_regionkey, r_name) VALUES ({kept[0]}, '{kept[1]}')")
+    return session.frame("SELECT r_regionkey, r_name FROM region")
+
+
+def _nations(spark: SparkSession, sf_dir: str, flush: bool) -> KeyValueLog:
+    """The log of all nations put by key, every fifth deleted; opened anew, from runs or from the write-ahead log."""
+    log = KeyValueLog(spark, _folder(spark))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # 25 rows at any scale
+    for r in rows:
+        log.put(b"%04d" % r["n_nationkey"], r["n_name"].encode())
+    if flush:
+        log.force_flush()
+    for r in rows:
+        if r["n_nationkey"] % 5 == 0:
+            log.delete(b"%04d" % r["n_nationkey"])
+    log.force_flush() if flush else log.sync()
+    return KeyValueLog(spark, log.root)
+
+
+def _key_value(flush: bool) -> Query:
+    return lambda spark, sf_dir: _nations(spark, sf_dir, flush).scan().select(F.col("user_key").cast("string").alias("user_key"), F.col("value").cast("string").alias("value"))
+
+
+def _key_value_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _nations(spark, sf_dir, False)
+    found = [(k, None if (v := log.get(b"%04d" % k)) is None else v.decode()) for k in range(25)]
+    return spark.createDataFrame(found, "n_nationkey int, n_name string")
+
+
+KEY_VALUE_SQL = "SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS user_key, n_name AS value FROM nation WHERE n_nationkey % 5 <> 0"
 PRICE = "CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1.0 ELSE c_acctbal END"
 #: Name: query, SQL for DuckDB.
 CATALOGUE: dict[str, tuple[Query, str]] = {
@@ -154,15 +230,25 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
     "dml_update_key": (_after("nation", ["n_nationkey", "n_name"], "UPDATE nation SET n_nationkey = n_nationkey - 1", then="SELECT n_nationkey, n_name FROM nation"), "SELECT n_nationkey - 1 AS n_nationkey, n_name FROM nation"),
     "dml_delete_after": (_after("orders", ["o_orderkey", "o_orderstatus"], "DELETE FROM orders WHERE o_orderstatus = 'F'", then="SELECT o_orderkey FROM orders"), "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F')"),
     "txn_own_writes": (_own_writes, "SELECT r_regionkey FROM region WHERE r_regionkey <> 0"),
+    "txn_commit": (_after("customer", ["c_custkey", "c_acctbal", "c_mktsegment"], "BEGIN; UPDATE customer SET c_acctbal = c_acctbal + 1.0 WHERE c_mktsegment = 'BUILDING'; DELETE FROM customer WHERE c_custkey = 1; COMMIT", then="SELECT c_custkey, c_acctbal FROM customer"), f"SELECT c_custkey, {PRICE} AS c_acctbal FROM customer WHERE c_custkey <> 1"),
+    "txn_rollback": (_after("region", ["r_regionkey", "r_name"], "BEGIN; DELETE FROM region; ROLLBACK", then="SELECT r_regionkey, r_name FROM region"), "SELECT r_regionkey, r_name FROM region"),
+    "txn_first_committer": (_first_committer, "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'FIRST' ELSE n_name END AS n_name FROM nation"),
+    "mvcc_point_read": (_point_read, "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7"),
+    "store_recovery": (_recovered, "SELECT c_custkey, c_acctbal - 1.0 AS c_acctbal FROM customer"),
+    "store_vacuum": (_vacuumed, "SELECT c_custkey, c_acctbal + 2.0 AS c_acctbal FROM customer"),
+    "ddl_drop_recreate": (_recreated, "SELECT r_regionkey, r_name FROM region WHERE r_regionkey = 2"),
+    "dml_insert_constant": (_after("region", ["r_regionkey", "r_name"], "INSERT INTO region (r_regionkey, r_name) VALUES (-(3 + 4) * 2, 'NEW')", then="SELECT r_regionkey, r_name FROM region"), "SELECT r_regionkey, r_name FROM region UNION ALL SELECT -14, 'NEW'"),
+    "kv_range_scan": (_key_value(flush=True), KEY_VALUE_SQL),
+    "kv_wal_replay": (_key_value(flush=False), KEY_VALUE_SQL),
+    "kv_point_get": (_key_value_get, "SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS n_name FROM nation"),
     "mvcc_as_of": (lambda s, d: versions.as_of(_log(s, d, "value"), ["user_id"], "event_id", 5000).select("user_id", "value"), "SELECT user_id, max_by(value, event_id) AS value FROM events WHERE event_id <= 5000 GROUP BY user_id"),
     "mvcc_conflict_keys": (_conflicts, "SELECT DISTINCT user_id FROM events WHERE event_id > 5000 AND user_id IN (SELECT user_id FROM events WHERE event_id <= 100)"),
     "mvcc_history": (lambda s, d: versions.history(_log(s, d), ["user_id"], "event_id").select("user_id", "versions"), "SELECT user_id, count(*) AS versions FROM events GROUP BY user_id"),
     "gc_prune": (lambda s, d: versions.pruned(_log(s, d), ["user_id"], "event_id", 5000).select("user_id", "event_id"), "SELECT user_id, event_id FROM events WHERE event_id > 5000 UNION ALL SELECT user_id, max(event_id) FROM events WHERE event_id <= 5000 GROUP BY user_id"),
     "compaction_latest": (lambda s, d: versions.compacted(_log(s, d, "event_type"), ["user_id"], ["event_id"]), "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
     "compaction_tombstones": (lambda s, d: versions.compacted(_log(s, d, "event_type"), ["user_id"], ["event_id"]).where("event_type = 'error'").select("user_id", "event_id"), "SELECT user_id, event_id FROM (SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS t FROM events GROUP BY user_id) WHERE t = 'error'"),
-    "tier_buckets": (lambda s, d: table(s, d, "documents").groupBy(F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int").alias("tier")).agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(floor(log2(greatest(n_chars, 1))) AS INTEGER) AS tier, count(*) AS n FROM documents GROUP BY 1"),
-    "range_overlap": (_ranges, "SELECT a.p_partkey AS l, b.p_partkey AS r FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_partkey + a.p_size >= b.p_partkey WHERE a.p_partkey <= 200"),
-    "range_overlap_whole": (lambda s, d: _ranges(s, d, "TRUE"), "SELECT a.p_partkey AS l, b.p_partkey AS r FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_partkey + a.p_size >= b.p_partkey"),
+    "tier_buckets": (lambda s, d: table(s, d, "documents").groupBy(compaction.tier_of(F.col("n_chars")).alias("tier")).agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(floor(log2(greatest(n_chars, 1))) AS INTEGER) AS tier, count(*) AS n FROM documents GROUP BY 1"),
+    "range_overlap": (_ranges, "SELECT a.p_partkey AS l, b.p_partkey AS r FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_partkey + a.p_size >= b.p_partkey"),
     "space_amplification": (_space, "SELECT (SELECT sum(strlen(props)) FROM (SELECT max_by(props, event_id) AS props FROM events GROUP BY user_id)) / (SELECT sum(strlen(props)) FROM events) AS space_amplification"),
 }
 QUERIES: dict[str, Query] = {name: query for name, (query, _) in CATALOGUE.items()}
