@@ -98,5 +98,13 @@ def test_range_overlap_over_the_whole_table(spark):
 
     part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_size").collect()
     want = sorted((a["p_partkey"], b["p_partkey"]) for a in part for b in part if a["p_partkey"] < b["p_partkey"] <= a["p_partkey"] + a["p_size"])
-    got = sorted(tuple(r) for r in catalogue.QUERIES["range_overlap_whole"](spark, "/root/testdata/sf0.01").collect())
+    got = sorted(tuple(r) for r in catalogue.QUERIES["range_overlap"](spark, "/root/testdata/sf0.01").collect())
     assert got == want and max(got)[0] > 200
+
+
+def test_tiers_of_columns_and_sizes_agree(spark):
+    from brindle.operators import compaction
+
+    sizes = [None, -5, 0, 1, 2, 3, 4, 7, 8, 1023, 1024, (1 << 53) + 1, (1 << 62) - 1, 1 << 62]
+    got = spark.createDataFrame([(x,) for x in sizes], "size long").select(compaction.tier_of(F.col("size")).alias("t"))
+    assert [r["t"] for r in got.collect()] == [None if x is None else compaction.tier(x) for x in sizes]
