@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import open_fs, shared_dir
-from .tokens import encoder
+from .tokens import GROUP_CHARS, encoder
 from .words import parted
 
 SIZE = 2048
@@ -128,7 +128,7 @@ def write_blocks(docs: DataFrame, folder: str, tokenizer: str, end_id: int, bloc
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (fs, base), out, name = encoder(tokenizer), open_fs(folder), None, f"{uuid.uuid4().hex}.ids"
         for batch in batches:
-            for rows, texts in parted(batch, 2):
+            for rows, texts in parted(batch, 2, GROUP_CHARS):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = _Writer(fs.open_output_stream(f"{base}/{name}"), block_ids)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import open_fs
-from .tokens import encoder
+from .tokens import GROUP_CHARS, encoder
 from .words import parted
 
 SEGMENT_IDS = 2 << 20
@@ -285,7 +285,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (fs, base), out, name = encoder(tokenizer), open_fs(folder), None, f"{uuid.uuid4().hex}.bdac"
         for batch in batches:
-            for rows, texts in parted(batch, 1):
+            for rows, texts in parted(batch, 1, GROUP_CHARS):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = FileWriter(fs.open_output_stream(f"{base}/{name}"), segment_ids)

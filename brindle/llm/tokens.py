@@ -21,7 +21,7 @@ import numpy as np
 
 from .words import prefix_hashes
 
-GROUP_CHARS = 1 << 18
+GROUP_CHARS = 1 << 19
 MAX_WORDS = 600_000
 LONG_WORD = 200
 WORDS_A_CALL = 256
@@ -130,7 +130,7 @@ class Encoder:
             record = self._records(keys)
         at = record[inverse]
         at[self._differ(at, codes, begin, end)] = 0
-        self.uses[: self.words] += np.bincount(at, minlength=self.words)
+        self.uses[record] += np.bincount(inverse)
         sizes = np.diff(np.searchsorted(begin, np.cumsum([len(p) for p in parts])), prepend=0)
         first = np.cumsum(sizes) - sizes
         odd = np.logical_or.reduceat(at == 0, first)
