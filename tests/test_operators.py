@@ -63,6 +63,14 @@ def test_leveled_picker():
     assert task.level == 1 and task.inputs == (1, 2)
     deep = C.leveled([file(4, 1, b"a", b"c", 80), file(5, 1, b"d", b"f", 80), file(6, 2, b"a", b"b", 50)], base_bytes=100)
     assert deep.level == 2 and deep.inputs == (5,) and deep.score == 1.6
+    # One file of level 0 moves: by the number of files that it meets, not their bytes, then by id.
+    top = [file(1, 0, b"a", b"z"), file(2, 0, b"a", b"c"), file(3, 0, b"x", b"z")]
+    below = [file(7, 1, b"a", b"b", 1000), file(8, 1, b"x", b"x", 1), file(9, 1, b"y", b"z", 1)]
+    few = C.leveled([*top, *below])
+    assert few.inputs == (2, 7) and few.score == 3 / 4 + 1 + 0.01
+    # A full level 0 goes before a level at seven times its target.
+    full = C.leveled([*top, file(4, 0, b"m", b"n"), file(5, 1, b"a", b"b", 700)], base_bytes=100)
+    assert full.inputs == (3,) and full.score == 11 and C.leveled([]) is None
 
 
 def test_tiered_picker_and_scheduler():
