@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import types
 from ..errors import ResourceLimitExceeded
 from ..governance import Limits
-from ..plans.lowering import Typed, lower, name, named_scope
+from ..plans.lowering import joined, name
 from ..sql import parse_expression
 
 
@@ -25,18 +24,7 @@ def join(left: DataFrame, right: DataFrame, predicate: str, left_name: str = "le
         sides = [limits.checked("join rows", df).count() for df in (left, right)]
         if (pairs := sides[0] * sides[1]) > limits.join_rows:
             raise ResourceLimitExceeded("join rows", pairs, limits.join_rows)
-    inner = {c: f"__right_{i}" for i, c in enumerate(right.columns)}
-    renamed = right.select(*[F.col(name(c)).alias(inner[c]) for c in right.columns])
-    kinds = {f.name: types.logical(f.dataType) or types.NULL for f in right.schema}
-    scope: dict[str, Typed] = {}
-    for c in right.columns:
-        scope[c] = scope[f"{right_name}.{c}"] = Typed(F.col(inner[c]), kinds[c])
-    for f in left.schema:
-        scope[f.name] = scope[f"{left_name}.{f.name}"] = Typed(F.col(name(f.name)), types.logical(f.dataType) or types.NULL)
-    on = lower(parse_expression(predicate), named_scope(scope)).column
-    out = left.join(renamed, on, "inner")
-    taken = set(left.columns)
-    return out.select(*[F.col(name(c)) for c in left.columns], *[F.col(inner[c]).alias(f"{right_name}.{c}" if c in taken else c) for c in right.columns])
+    return joined(left, right, parse_expression(predicate), left_name, right_name)
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: int) -> DataFrame:

@@ -201,12 +201,41 @@ def key_filter(scan: logical.PrimaryKeyScan) -> Column:
     return out
 
 
+def frame_scope(df: DataFrame) -> Scope:
+    """Columns by their names."""
+    return named_scope({f.name: Typed(F.col(name(f.name)), types.logical(f.dataType) or types.NULL) for f in df.schema})
+
+
+def source_name(node: logical.Node, otherwise: str) -> str:
+    """The table that a plan without joins reads."""
+    while not isinstance(node, (logical.Scan, logical.PrimaryKeyScan)):
+        if isinstance(node, logical.Join):
+            return otherwise
+        node = node.child
+    return node.table.name
+
+
+def joined(left: DataFrame, right: DataFrame, predicate: ast.Expr, left_name: str, right_name: str) -> DataFrame:
+    """Inner join; columns of ``right`` that ``left`` has too come out as ``<right_name>.<column>``."""
+    inner = {c: f"__right_{i}" for i, c in enumerate(right.columns)}
+    renamed = right.select(*[F.col(name(c)).alias(inner[c]) for c in right.columns])
+    kinds = {f.name: types.logical(f.dataType) or types.NULL for f in right.schema}
+    scope: dict[str, Typed] = {}
+    for c in right.columns:
+        scope[c] = scope[f"{right_name}.{c}"] = Typed(F.col(inner[c]), kinds[c])
+    for f in left.schema:
+        scope[f.name] = scope[f"{left_name}.{f.name}"] = Typed(F.col(name(f.name)), types.logical(f.dataType) or types.NULL)
+    out = left.join(renamed, lower(predicate, named_scope(scope)).column, "inner")
+    taken = set(left.columns)
+    return out.select(*[F.col(name(c)) for c in left.columns], *[F.col(inner[c]).alias(f"{right_name}.{c}" if c in taken else c) for c in right.columns])
+
+
 def data_frame(node: logical.Node, read: Callable[[Table], DataFrame], checked: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
     """The DataFrame of a SELECT's plan.
 
     ``checked`` sees the input of scans, sorts and joins by the name of their
     limit. Sorting happens before the projection narrows, so hidden columns can
-    order; a limit without an order takes rows in key order.
+    order; a limit without an order takes rows in key order, of joins any rows.
     """
     table, sort, limit, items, filters = None, None, None, None, []
     while True:
@@ -226,18 +255,21 @@ def data_frame(node: logical.Node, read: Callable[[Table], DataFrame], checked:
             case logical.Scan(table=table):
                 df = checked("scan rows", read(table))
                 break
-            case _:
-                raise ExecutionError("joins are built with the join API")
-    scope = table_scope(table)
+            case logical.Join(left=left, right=right, predicate=on):
+                sides = data_frame(left, read, checked), data_frame(right, read, checked)
+                names = source_name(left, "left"), source_name(right, "right")
+                df = joined(*(checked("join rows", side) for side in sides), on, names[0], names[1] if names[0] != names[1] else "right")
+                break
+    scope = table_scope(table) if table else frame_scope(df)
     for p in reversed(filters):
         df = df.where(_boolean(lower(p, scope)))
     if sort:
         df = checked("sort rows", df)
-        df = df.orderBy(*order_keys(sort, scope), *(byte_order(table) if limit is not None else []))
-    elif limit is not None:
+        df = df.orderBy(*order_keys(sort, scope), *(byte_order(table) if limit is not None and table else []))
+    elif limit is not None and table:
         df = df.orderBy(*byte_order(table))
     if limit is not None:
         df = df.limit(limit)
     if items is None:
-        return df.select(*[F.col(name(c)) for c in table.names])
+        return df.select(*[F.col(name(c)) for c in (table.names if table else df.columns)])
     return df.select(*[lower(e, scope).column.alias(output_name(e, i)) for i, e in enumerate(items)])

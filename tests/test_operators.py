@@ -116,3 +116,22 @@ def test_tiers_of_columns_and_sizes_agree(spark):
     sizes = [None, -5, 0, 1, 2, 3, 4, 7, 8, 1023, 1024, (1 << 53) + 1, (1 << 62) - 1, 1 << 62]
     got = spark.createDataFrame([(x,) for x in sizes], "size long").select(compaction.tier_of(F.col("size")).alias("t"))
     assert [r["t"] for r in got.collect()] == [None if x is None else compaction.tier(x) for x in sizes]
+
+
+def test_join_nodes_are_lowered(spark):
+    from brindle import types
+    from brindle.catalog import Column, Table
+    from brindle.plans import logical, lowering
+    from brindle.sql import ast, parse_expression
+
+    a = Table("a", (Column("k", types.BIGINT, False), Column("v", types.BIGINT)), ("k",))
+    b = Table("b", a.columns, a.primary_key)
+    held = {"a": spark.createDataFrame([(1, 10), (2, 20), (3, None)], "k long, v long"), "b": spark.createDataFrame([(1, 7), (3, 8), (4, 9)], "k long, v long")}
+    plan = logical.Filter(logical.Join(logical.Scan(a), logical.Filter(logical.Scan(b), parse_expression("v < 9")), parse_expression("a.k = b.k")), parse_expression("k > 0"))
+    plan = logical.Limit(logical.Sort(plan, (ast.OrderItem(parse_expression("k"), descending=True),)), 1)
+    seen = []
+    out = lowering.data_frame(logical.physical(plan), lambda t: held[t.name], lambda what, df: seen.append(what) or df)
+    assert out.columns == ["k", "v", "b.k", "b.v"] and [tuple(r) for r in out.collect()] == [(3, None, 3, 8)]
+    assert seen.count("join rows") == 2 and seen.count("scan rows") == 2
+    itself = lowering.data_frame(logical.Join(logical.Scan(a), logical.Scan(a), parse_expression("a.k < right.k")), lambda t: held[t.name])
+    assert itself.columns == ["k", "v", "right.k", "right.v"] and itself.count() == 3
