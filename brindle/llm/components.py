@@ -29,13 +29,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = _state(e)
     for _ in range(max_rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.sum(F.when(F.col("v") > F.col("u"), 1).otherwise(0)).alias("n"))
-        large = hot_join(both.where("v > u"), least.select("u", F.least("u", "m").alias("m"), "n"), "u", state[0])
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum(F.when(F.col("v") > F.col("u"), 1).otherwise(0)).alias("n"))
+        least = written(least, "least")
+        large = hot_join(both.where("v > u"), least, "u", state[0])
         large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
-        next_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        next_least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
         small = hot_join(large, next_least, "u", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, written(small.unionByName(next_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        removed(last, large)
+        removed(last, least, large, next_least)
         now = _state(e)
         if now == state:
             break

@@ -231,10 +231,11 @@ def _assigned(met: DataFrame, grown: DataFrame, root: int, depth: int) -> DataFr
     deep = deep.withColumn("level", F.explode(F.sequence(F.lit(root), F.lit(depth)))).where(F.col("level") > root)
     at = written(deep.select("rank", "size", "tree", "level", (F.col("level") == F.col("own")).alias("own"), prefix.alias("key")), "levels")
     chosen = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("chosen")).where("n > 1 and chosen")
-    deep = hot_join(at.drop("own"), chosen.select("key", "n"), "key", at.count()).groupBy("rank", "size", "tree").agg(F.min(F.struct("level", "key")).alias("at"))
+    chosen = written(chosen.select("key", "n"), "chosen")
+    deep = hot_join(at.drop("own"), chosen, "key", at.count()).groupBy("rank", "size", "tree").agg(F.min(F.struct("level", "key")).alias("at"))
     out = plain.unionByName(deep.select("rank", "size", "tree", "at.key"))
     out = written(out.withColumn("key", F.when(F.col("key") == 0, 1).otherwise(F.col("key"))), "prefixes")
-    removed(at)
+    removed(at, chosen)
     return out
 
 
@@ -260,11 +261,13 @@ def _groups(at: DataFrame, cell: int, cell_bytes: int) -> DataFrame:
     whole = hot_join(comps, sizes.where("whole").select("comp", "docs", "of"), "comp", members, "docs")
     whole = whole.select("rank", F.col("comp").alias("g"), F.col("docs").alias("n"), F.col("of").alias("shingles"), F.lit(-1).alias("tree"))
     apart = sizes.where("not whole").select("comp", "docs")
-    by_key = hot_join(of_key.select("comp", "key"), apart.join(of_key.groupBy("comp").agg(F.count(F.lit(1)).alias("keys")), "comp"), "comp", members, "keys").select("key")
-    by_key = hot_join(met, by_key.join(keys.select("key", F.col("n").alias("docs")), "key"), "key", members, "docs")
+    apart = written(apart.join(of_key.groupBy("comp").agg(F.count(F.lit(1)).alias("keys")), "comp"), "apart")
+    by_key = hot_join(of_key.select("comp", "key", F.col("n").alias("docs")), apart.select("comp", "keys"), "comp", members, "keys")
+    by_key = written(by_key.select("key", "docs"), "apart-keys")
+    met_keys, by_key = by_key, hot_join(met, by_key, "key", members, "docs")
     by_key = by_key.select("rank", F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("g"), "n", "shingles", F.col("tree").cast("int").alias("tree"))
     out = written(whole.unionByName(by_key), "groups")
-    removed(keys, met, sizes)
+    removed(keys, met, sizes, apart, met_keys)
     return out
 
 

@@ -218,7 +218,7 @@ def _with_group(v: DataFrame, per_group: DataFrame, sizes: DataFrame, rows: int,
     """``v`` and what one row a group says; the rows of a large group stay where they are."""
     if groups <= BROADCAST_GROUPS:
         return v.join(F.broadcast(per_group), "g")
-    return hot_join(v, per_group.join(sizes, "g"), "g", rows).drop("n")
+    return hot_join(v, per_group.join(sizes, "g"), "g", rows, stored=False).drop("n")
 
 
 def _step(v: DataFrame, sizes: DataFrame, starts: DataFrame, rows: int, groups: int, support: float) -> DataFrame:
@@ -267,8 +267,9 @@ def estimates(v: DataFrame, support: float = SUPPORT, starts: int = STARTS) -> D
     for _ in range(MAX_STEPS):
         new = _step(v, sizes, best.select("g", F.array(F.struct("k", "m", "p")).alias("starts")), rows, groups, support)
         both = best.select("g", F.struct("log_det", "k", "m", "p").alias("old")).join(new.select("g", F.struct("log_det", "k", "m", "p").alias("new")), "g")
-        fall = both.agg(F.max(F.col("old.log_det") - F.col("new.log_det"))).first()[0]
-        best = written(both.select("g", F.when(F.col("new.log_det") < F.col("old.log_det"), F.col("new")).otherwise(F.col("old")).alias("at")).select("g", "at.*"), "estimate")
+        fall = F.col("old.log_det") - F.col("new.log_det")
+        best = written(both.select("g", F.when(F.col("new.log_det") < F.col("old.log_det"), F.col("new")).otherwise(F.col("old")).alias("at"), fall.alias("fall")).select("g", "at.*", "fall"), "estimate")
+        fall = best.agg(F.max("fall")).first()[0]
         if fall is None or fall <= SETTLED:
             break
     return best.select("g", "m", "p", "log_det")

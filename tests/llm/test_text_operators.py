@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate, extraction, langid, ngram_join, quality
-from brindle.llm.common import ship
+from brindle.llm.common import hot_join, ship, written
 from brindle.llm.components import components
 from brindle.llm.words import word_hashes
 
@@ -144,6 +144,21 @@ def test_word_hashes_do_not_depend_on_place():
     assert len(set(word_hashes(" ".join(map(str, range(20_000))).encode())[0].tolist())) == 20_000
 
 
+@pytest.mark.parametrize("hot", [0, 200])
+def test_keys_are_broadcast_only_where_some_are_hot(spark, hot):
+    rows = [(k % 40, k) for k in range(120)] + [(7, 1000 + k) for k in range(hot)]
+    left = spark.createDataFrame(rows, "key long, x long")
+    right = written(left.where("key % 3 = 1").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "right")
+    times = Counter(k for k, _ in rows)
+    expected = sorted((k, x, times[k]) for k, x in rows if k % 3 == 1)
+    for stored in (True, False):
+        out = hot_join(left, right, "key", len(rows), stored=stored)
+        assert sorted(map(tuple, out.select("key", "x", "n").collect())) == expected
+        # The driver holds every plan it ran: without a hot key there is one join.
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("Broadcast" in plan) == (hot > 0 or not stored)
+
+
 def test_components_against_union_find(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
